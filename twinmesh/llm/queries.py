@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from twinmesh.llm.groups import groups
 from twinmesh.llm.history import HistoryIndex, members_of, unrecorded
+from twinmesh.llm.similar import COSINE, HAMMING, as_pairs, closest, hash_items, vector_items
 from twinmesh.llm.topn import top_matches
 from twinmesh.session import Scratch
 from twinmesh.sources.tables import current_edges, table
@@ -24,6 +25,14 @@ WHERE rn = 1"""
 PLAIN_SQL = "regexp_replace(lower(trim(hash)), '^0x', '')"
 
 
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of which one is among the five closest of the other, for hashes and for vectors."""
+    scratch = Scratch(spark, "p1")
+    near = closest(spark, hash_items(table(spark, root, "asset_hash")), HAMMING, 5, scratch)
+    like = closest(spark, vector_items(table(spark, root, "core_hash_result")), COSINE, 5, scratch)
+    return as_pairs(near, 3).unionByName(as_pairs(like, 7))
+
+
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     """Group identifiers over all current edges of similarity 90 or more."""
     links = current_edges(table(spark, root, "asset_hash_duplicate")).where(F.col("similarity") >= LINK_SIMILARITY)
@@ -79,8 +88,8 @@ SELECT algorithm_id, asset_id, rank_no::INTEGER AS rank_no, other_asset_id FROM
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL}
+    return {"p1_found": p1_found, "p2_found": P2_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL}
