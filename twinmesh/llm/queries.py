@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinmesh.llm.abuse import FOUND_AT, score_documents, source_rates
 from twinmesh.llm.groups import groups
 from twinmesh.llm.history import HistoryIndex, members_of, unrecorded
 from twinmesh.llm.similar import COSINE, HAMMING, as_pairs, closest, hash_items, vector_items
@@ -87,8 +88,23 @@ SELECT algorithm_id, asset_id, rank_no::INTEGER AS rank_no, other_asset_id FROM
   FROM ({CURRENT_SQL})) WHERE rank_no <= 3"""
 
 
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents with abusive, hateful or sexual wording."""
+    return score_documents(table(spark, root, "documents")).where(F.col("score") >= FOUND_AT).select("doc_id").distinct()
+
+
+def p8_scores(spark: SparkSession, root: str) -> DataFrame:
+    """The scores of every document."""
+    return score_documents(table(spark, root, "documents"))
+
+
+def p8_source_rates(spark: SparkSession, root: str) -> DataFrame:
+    """Rates of flagged documents per source."""
+    return source_rates(score_documents(table(spark, root, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p8_found": p8_found, "p8_scores": p8_scores, "p8_source_rates": p8_source_rates}
 
 
 def oracle_sql() -> dict[str, str]:
