@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from twinmesh.llm.abuse import FOUND_AT, score_documents, source_rates
 from twinmesh.llm.groups import groups
 from twinmesh.llm.history import HistoryIndex, members_of, unrecorded
+from twinmesh.llm.mixing import Mix
+from twinmesh.llm.packing import CAPACITY, pack
 from twinmesh.llm.similar import COSINE, HAMMING, as_pairs, closest, hash_items, vector_items
 from twinmesh.llm.topn import top_matches
 from twinmesh.session import Scratch
@@ -88,6 +90,29 @@ SELECT algorithm_id, asset_id, rank_no::INTEGER AS rank_no, other_asset_id FROM
   FROM ({CURRENT_SQL})) WHERE rank_no <= 3"""
 
 
+def p6_containers(spark: SparkSession, root: str) -> DataFrame:
+    """Every document with its container, position and the container's unused tokens."""
+    return pack(spark, table(spark, root, "documents"), Scratch(spark, "p6"))
+
+
+def p6_summary(spark: SparkSession, root: str) -> DataFrame:
+    """Containers, tokens and unused space of the packing."""
+    placed = p6_containers(spark, root).where("container_id is not null")
+    each = placed.groupBy("container_id").agg(F.sum("n_tokens").alias("tokens"), F.max("unused").alias("unused"))
+    full = each.agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"), F.sum("unused").alias("unused"))
+    return full.withColumn("unused_share", F.col("unused") / (F.col("containers") * CAPACITY))
+
+
+def p7_chosen(spark: SparkSession, root: str) -> DataFrame:
+    """The document parts chosen for each slot of the mix."""
+    return Mix(spark, table(spark, root, "documents"), table(spark, root, "mix_target"), Scratch(spark, "p7")).chosen
+
+
+def p7_shares(spark: SparkSession, root: str) -> DataFrame:
+    """Target and actual shares per source."""
+    return Mix(spark, table(spark, root, "documents"), table(spark, root, "mix_target"), Scratch(spark, "p7")).shares()
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     """Documents with abusive, hateful or sexual wording."""
     return score_documents(table(spark, root, "documents")).where(F.col("score") >= FOUND_AT).select("doc_id").distinct()
@@ -104,7 +129,7 @@ def p8_source_rates(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p8_found": p8_found, "p8_scores": p8_scores, "p8_source_rates": p8_source_rates}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_containers": p6_containers, "p6_summary": p6_summary, "p7_chosen": p7_chosen, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores, "p8_source_rates": p8_source_rates}
 
 
 def oracle_sql() -> dict[str, str]:
