@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinmesh.operators.components import clean_links, contract, name_vertices
 from twinmesh.session import Scratch
 
 HEAVY_SHARE = 0.01
@@ -30,24 +31,6 @@ HEAVY_SHARE = 0.01
 FRONTIER_SHARE = 0.02
 
 
-def _named(links: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Vertices (algorithm_id, asset_id, name, degree) and links (u, v) by name."""
-    both = links.select("algorithm_id", "asset_id").unionAll(links.select("algorithm_id", F.col("other_asset_id").alias("asset_id")))
-    degrees = both.groupBy("algorithm_id", "asset_id").agg(F.count(F.lit(1)).alias("degree"))
-    for seed in range(4):
-        name = lambda c: F.xxhash64(F.lit(seed), "algorithm_id", c)  # noqa: B023, E731
-        vertices = scratch.store(degrees.withColumn("name", name("asset_id")), "vertices")
-        if vertices.groupBy("name").count().where("count > 1").isEmpty():
-            return vertices, links.select(name("asset_id").alias("u"), name("other_asset_id").alias("v"))
-        scratch.drop(vertices)
-    # so many vertices that 64-bit names collide under each seed: number them instead
-    vertices = scratch.store(degrees.withColumn("name", F.monotonically_increasing_id()), "vertices")
-    of = vertices.select("algorithm_id", "asset_id", "name")
-    one = links.join(of.withColumnRenamed("name", "u"), ["algorithm_id", "asset_id"])
-    two = one.join(of.select("algorithm_id", F.col("asset_id").alias("other_asset_id"), F.col("name").alias("v")), ["algorithm_id", "other_asset_id"])
-    return vertices, two.select("u", "v")
-
-
 def _peel(vertices: DataFrame, links: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Peeled vertices (name, source), and the links that are left once each peeled vertex is
     replaced by its source."""
@@ -76,24 +59,7 @@ def _peel(vertices: DataFrame, links: DataFrame, scratch: Scratch) -> tuple[Data
     of = lambda c, s: peeled.select(F.col("name").alias(c), F.col("source").alias(s))
     rest = inner.join(of("u", "a"), "u", "left").join(of("v", "b"), "v", "left").select(F.coalesce("a", "u").alias("u"), F.coalesce("b", "v").alias("v"))
     across = spokes.join(of("v", "b"), "v").select(F.col("s").alias("u"), F.col("b").alias("v"))
-    return peeled, rest.unionAll(across).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-
-
-def _contract(links: DataFrame, scratch: Scratch) -> list[DataFrame]:
-    """The choices (name, label) of each round of minimum propagation, until no link is left."""
-    rounds = []
-    links = scratch.store(links, "links")
-    while not links.isEmpty():
-        both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        choice = scratch.store(both.groupBy(F.col("u").alias("name")).agg(F.least(F.min("v"), F.col("u")).alias("label")), "choice")
-        hop = lambda x: x.join(x.select(F.col("name").alias("label"), F.col("label").alias("next")), "label").select("name", F.col("next").alias("label"))
-        rounds.append(scratch.store(hop(hop(choice)), "choice"))
-        scratch.drop(choice)
-        at = lambda c, to: rounds[-1].select(F.col("name").alias(c), F.col("label").alias(to))
-        new = links.join(at("u", "a"), "u").join(at("v", "b"), "v").where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-        old, links = links, scratch.store(new, "links")
-        scratch.drop(old)
-    return rounds
+    return peeled, rest.unionAll(across).where("u <> v")
 
 
 def groups(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -102,25 +68,18 @@ def groups(links: DataFrame, scratch: Scratch) -> DataFrame:
 
     Rows with a null id or algorithm are ignored, as are repeated rows and rows that link an asset
     with itself (an asset with no other link is in no group); an empty table gives no rows."""
-    clean = links.select("algorithm_id", "asset_id", "other_asset_id").where(F.col("algorithm_id").isNotNull() & (F.col("asset_id") != F.col("other_asset_id")))
-    clean = scratch.store(clean, "clean")
-    vertices, named = _named(clean, scratch)
+    scope = ["algorithm_id"]
+    clean = scratch.store(clean_links(links, scope), "clean")
+    vertices, named = name_vertices(clean, scope, scratch)
     if vertices.isEmpty():
         return vertices.select("algorithm_id", "asset_id", F.col("asset_id").alias("group_id"))
     peeled, rest = _peel(vertices, named, scratch)
-    scratch.drop(clean)
-    rounds = _contract(rest, scratch)
-    final = None
-    for choice in reversed(rounds):
-        if final is not None:
-            later = final.select(F.col("name").alias("label"), F.col("label").alias("next"))
-            choice = choice.join(later, "label", "left").select("name", F.coalesce("next", "label").alias("label"))
-        final = choice
+    final = contract(rest, scratch)
     of = vertices.select("algorithm_id", "asset_id", "name").join(peeled, "name", "left")
     if final is None:
         labelled = of.withColumn("label", F.coalesce("source", "name"))
     else:  # a source may have been merged further, so its vertices look up the source; sources are few
-        labels = scratch.store(final.withColumnRenamed("name", "key"), "final")
+        labels = final.withColumnRenamed("name", "key")
         of = of.withColumn("key", F.coalesce("source", "name"))
         few = labels.join(F.broadcast(peeled.select(F.col("source").alias("key")).distinct()), "key", "left_semi")
         inside = of.where("source is not null").join(F.broadcast(few), "key", "left")
