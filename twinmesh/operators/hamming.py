@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinmesh.functions import hashing
+from twinmesh.session import Scratch
 
 SCOPE = ["project_id", "algorithm_id"]
 #: Bands of fewer bits than this select too little.
@@ -43,34 +44,42 @@ def _masks(positions: list[int], bits: int) -> list[int]:
 
 
 def _keyed(rows: DataFrame, masks: DataFrame, bits: int, *also: str) -> DataFrame:
-    """rows with a column ``key`` for each row of ``masks`` of the same band: the hash of scope, band
+    """(scope, hid, band, key) for each row of ``masks`` of the row's band: key is the hash of scope, band
     numbers and masked words. The masks are a parameter-sized table (bands, or bands squared), so the
     plan stays small for hashes of many words, too."""
     array = F.array(*[f"w{i}" for i in range(-(-bits // 64))])
     masked = F.zip_with(array, F.col("mask"), lambda w, m: w.bitwiseAND(m))
-    return rows.join(F.broadcast(masks), "band").withColumn("key", F.xxhash64(*SCOPE, *also, "band", "part", masked)).drop("mask", "part")
+    return rows.join(F.broadcast(masks), "band").select(*SCOPE, "hid", "band", F.xxhash64(*SCOPE, *also, "band", "part", masked).alias("key"))
 
 
-def _pairs(left: DataFrame, on: list[str], bits: int, d_max: int) -> DataFrame:
-    n = -(-bits // 64)
-    other = left.select(*on, F.col("hash").alias("other_hash"), *[F.col(f"w{i}").alias(f"o{i}") for i in range(n)])
-    d = hashing.distance([F.col(f"w{i}") for i in range(n)], [F.col(f"o{i}") for i in range(n)])
-    return left.join(other, on).where((F.col("hash") < F.col("other_hash")) & (d <= d_max)).select(*SCOPE, "hash", "other_hash", d.alias("distance"))
+def _candidates(keys: DataFrame) -> DataFrame:
+    other = keys.select(*SCOPE, "key", F.col("hid").alias("other_hid"))
+    return keys.join(other, [*SCOPE, "key"]).where("hid < other_hid").select("hid", "other_hid")
+
 
+def by_bands(distinct: DataFrame, bits: int, d_max: int, scratch: Scratch, seed: int = 1) -> DataFrame:
+    """Pairs of distinct hashes within d_max by bands; each pair once.
 
-def by_bands(distinct: DataFrame, bits: int, d_max: int, seed: int = 1) -> DataFrame:
-    """Pairs of distinct hashes within d_max by bands; each pair once."""
-    spark = distinct.sparkSession
+    Keys are written without the words, as numbers, and the words are joined to the candidates, since a
+    long hash has many bands and few candidates."""
+    spark, n = distinct.sparkSession, -(-bits // 64)
+    names = [f"w{i}" for i in range(n)]
     cuts = _cuts(list(range(bits)), d_max + 1, seed)
     first = spark.createDataFrame([(i, 0, _masks(c, bits)) for i, c in enumerate(cuts)], "band int, part int, mask array<bigint>")
-    words = distinct.select(*SCOPE, "hash", *hashing.words("hash", bits), F.explode(F.sequence(F.lit(0), F.lit(d_max))).alias("band"))
-    rows = _keyed(words, first, bits)
-    wide = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WIDE).select("key")
-    plain = _pairs(rows.join(wide, "key", "left_anti"), [*SCOPE, "key"], bits, d_max)
-    subs = [(i, j, _masks(s, bits)) for i, c in enumerate(cuts) for j, s in enumerate(_cuts([p for p in range(bits) if p not in set(c)], d_max + 1, seed + 1 + i))]
-    second = spark.createDataFrame(subs, "band int, part int, mask array<bigint>")
-    again = _keyed(rows.join(wide, "key", "left_semi").withColumnRenamed("key", "outer"), second, bits, "outer")
-    return plain.unionByName(_pairs(again, [*SCOPE, "key"], bits, d_max)).distinct()
+    words = scratch.store(distinct.select(*SCOPE, F.monotonically_increasing_id().alias("hid"), "hash", *hashing.words("hash", bits)), "words")
+    keys = scratch.store(_keyed(words.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(d_max)))), first, bits), "keys")
+    wide = scratch.store(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WIDE).select("key"), "wide")
+    if wide.isEmpty():
+        found = _candidates(keys)
+    else:
+        subs = [(i, j, _masks(s, bits)) for i, c in enumerate(cuts) for j, s in enumerate(_cuts([p for p in range(bits) if p not in set(c)], d_max + 1, seed + 1 + i))]
+        second = spark.createDataFrame(subs, "band int, part int, mask array<bigint>")
+        shared = keys.join(wide, "key", "left_semi").select("hid", "band", F.col("key").alias("outer")).join(words.drop("hash"), "hid")
+        found = _candidates(keys.join(wide, "key", "left_anti")).unionByName(_candidates(_keyed(shared, second, bits, "outer")))
+    theirs = words.select(F.col("hid").alias("other_hid"), F.col("hash").alias("oh"), *[F.col(w).alias(f"o_{w}") for w in names])
+    both = found.distinct().join(words, "hid").join(theirs, "other_hid")
+    d = hashing.distance([F.col(w) for w in names], [F.col(f"o_{w}") for w in names])
+    return both.select(*SCOPE, F.least("hash", "oh").alias("hash"), F.greatest("hash", "oh").alias("other_hash"), d.alias("distance")).where(F.col("distance") <= d_max)
 
 
 def by_blocks(distinct: DataFrame, bits: int, d_max: int, blocks: int = 8) -> DataFrame:
@@ -88,7 +97,7 @@ def by_blocks(distinct: DataFrame, bits: int, d_max: int, blocks: int = 8) -> Da
     return left.join(other, [*SCOPE, "lo", "hi"]).where(meet & (F.col("hash") < F.col("other_hash")) & (d <= d_max)).select(*SCOPE, "hash", "other_hash", d.alias("distance"))
 
 
-def class_edges(hashes: DataFrame, bits: int, threshold: float, way: str | None = None) -> DataFrame:
+def class_edges(hashes: DataFrame, bits: int, threshold: float, scratch: Scratch, way: str | None = None) -> DataFrame:
     """Pairs of distinct hashes of ``bits`` bits whose similarity reaches the threshold:
     (project_id, algorithm_id, hash, other_hash, distance, similarity), smaller hash first.
 
@@ -101,7 +110,7 @@ def class_edges(hashes: DataFrame, bits: int, threshold: float, way: str | None
         distinct = distinct.where("false")
     d_max = max(d_max, 0)
     way = way or ("bands" if bits // (d_max + 1) >= LEAST_BAND else "blocks")
-    pairs = by_bands(distinct, bits, d_max) if way == "bands" else by_blocks(distinct, bits, d_max)
+    pairs = by_bands(distinct, bits, d_max, scratch) if way == "bands" else by_blocks(distinct, bits, d_max)
     return pairs.withColumn("distance", F.col("distance").cast("int")).withColumn("similarity", hashing.similarity(F.col("distance"), bits))
 
 

@@ -187,7 +187,7 @@ def _class_edges(spark, root, of: dict[int, tuple[int, float]]) -> DataFrame:
     h = Base(spark, root).hashes
     out = None
     for algorithm, (bits, threshold) in of.items():
-        e = hamming.class_edges(h.where(F.col("algorithm_id") == algorithm), bits, threshold)
+        e = hamming.class_edges(h.where(F.col("algorithm_id") == algorithm), bits, threshold, Scratch(spark, "near"))
         out = e if out is None else out.unionByName(e)
     return out
 
@@ -217,7 +217,7 @@ WHERE asset_id <> other_asset_id GROUP BY 1, 2, 3, 4""", NEAR_ONE.format("3"), "
 def hamming_edges(spark, root):
     """Directional edges of assets by image.phash16, best frame pair, similarity 95 or more."""
     h = Base(spark, root).hashes.where(F.col("algorithm_id") == 3).where(F.col("hash").rlike("^[0-9a-f]{64}$"))
-    return hamming.asset_edges(h, hamming.class_edges(h, 256, 95.0))
+    return hamming.asset_edges(h, hamming.class_edges(h, 256, 95.0, Scratch(spark, "near")))
 
 
 # --- reads ----------------------------------------------------------------------------------------
