@@ -70,7 +70,11 @@ def patch_identities(assets: DataFrame, batch: DataFrame) -> DataFrame:
     out = out.select("_row", "project_id", F.col("prev.asset_id").alias("asset_id"), new_id.alias("identity_id"), new_path.alias("identity_path"), clash.alias("clash"))
     times = out.where("asset_id is not null").groupBy("asset_id").agg(F.count(F.lit(1)).alias("times"))
     out = out.join(times, "asset_id", "left")
-    bad = F.col("clash") | (F.coalesce("times", F.lit(1)) > 1) | (F.col("identity_id").isNull() & F.col("identity_path").isNull())
+    for field in ("identity_id", "identity_path"):
+        again = keyed.where(F.col(field).isNotNull() & (F.col(field) != "")).groupBy("project_id", field).agg(F.count(F.lit(1)).alias(f"n_{field}"))
+        twice = keyed.join(again.where(f"n_{field} > 1"), ["project_id", field]).select("_row", f"n_{field}")
+        out = out.join(twice, "_row", "left")
+    bad = F.col("n_identity_id").isNotNull() | F.col("n_identity_path").isNotNull() | F.col("clash") | (F.coalesce("times", F.lit(1)) > 1) | (F.col("identity_id").isNull() & F.col("identity_path").isNull())
     status = F.when(bad, F.lit("conflict")).when(F.col("asset_id").isNull(), F.lit(CREATED)).otherwise(F.lit("patched"))
     return out.select("project_id", "asset_id", "identity_id", "identity_path", status.alias("status"))
 
