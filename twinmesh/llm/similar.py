@@ -55,7 +55,7 @@ class Metric:
 
 
 COSINE = Metric("cosine", 256, 0.2 + 1e-7, 1.0, 8, 0.08)
-HAMMING = Metric("hamming", 32, 38.0, 5.8, 8, 2.0)
+HAMMING = Metric("hamming", 32, 38.0, 5.8, 12, 2.0)
 
 
 def rotation(dim: int = 64) -> np.ndarray:
