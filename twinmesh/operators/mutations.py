@@ -83,13 +83,14 @@ def hash_statuses(stored: DataFrame, answers: DataFrame) -> DataFrame:
     """(asset_id, algorithm_id, status) of hashing answers (asset_id, algorithm_id, hashes) against the stored
     hash rows: created where nothing is stored, unchanged where the same hashes are stored at the same
     places, else updated. A null list counts as an empty one."""
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("sequence_index", "hash"))), lambda x: x)
-    have = stored.groupBy("asset_id", "algorithm_id").agg(listed.alias("have"))
-    want = F.transform(F.coalesce("hashes", F.array().cast("array<string>")), lambda h, i: F.struct(i.cast("int").alias("sequence_index"), h.alias("hash")))
-    j = answers.select("asset_id", "algorithm_id", want.alias("want")).join(have, ["asset_id", "algorithm_id"], "left")
-    same = F.col("have") == F.col("want")
-    status = F.when(F.col("have").isNull(), F.when(F.size("want") == 0, UNCHANGED).otherwise(CREATED)).when(same, UNCHANGED).otherwise(UPDATED)
-    return j.select("asset_id", "algorithm_id", status.alias("status"))
+    of = ["asset_id", "algorithm_id"]
+    want = answers.select(*of, F.posexplode_outer("hashes").alias("sequence_index", "want"))
+    place = [*of, "sequence_index"]
+    # compared place by place, so an asset's hashes are never gathered in one list
+    both = want.where("sequence_index is not null").join(stored.select(*place, F.col("hash").alias("have"), F.lit(True).alias("stored")), place, "full")
+    per = both.groupBy(*of).agg(F.max(F.coalesce("stored", F.lit(False))).alias("stored"), F.max(~F.col("want").eqNullSafe(F.col("have"))).alias("differs"))
+    status = F.when(F.col("stored").isNull() | (~F.col("stored") & ~F.col("differs")), UNCHANGED).when(~F.col("stored"), CREATED).when(F.col("differs"), UPDATED).otherwise(UNCHANGED)
+    return answers.select(*of).join(per, of, "left").select(*of, status.alias("status"))
 
 
 def replace_hashes(stored: DataFrame, answers: DataFrame) -> DataFrame:

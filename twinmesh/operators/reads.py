@@ -96,15 +96,21 @@ def top_matches(edges: DataFrame, threshold: float, limit: int) -> DataFrame:
     return e.withColumn("match_no", F.row_number().over(w)).where(F.col("match_no") <= limit)
 
 
-def ranking_with_matches(edges: DataFrame, assets: DataFrame, threshold: float, limit: int, **filters: str) -> DataFrame:
-    """The ranking with an array of each asset's first matches; duplicate_count isn't capped."""
-    ranked = ranking(edges, assets, threshold, **filters)
-    top = top_matches(edges, threshold, limit).join(named(assets, "other_"), "other_asset_id")
+def with_matches(ranked: DataFrame, edges: DataFrame, assets: DataFrame, threshold: float, limit: int) -> DataFrame:
+    """Ranked assets (a page of them, say) with an array of each one's first matches; only their edges
+    are read, and duplicate_count isn't capped."""
+    mine = edges.join(ranked.select(*SCOPE, "asset_id"), [*SCOPE, "asset_id"], "left_semi")
+    top = top_matches(mine, threshold, limit).join(named(assets, "other_"), "other_asset_id")
     match = F.struct("match_no", scalars.identity("other_").alias("identity"), "distance", "similarity")
     lists = top.groupBy(*SCOPE, "asset_id").agg(F.transform(F.sort_array(F.collect_list(match)), lambda m: m.dropFields("match_no")).alias("matches"))
     return ranked.join(lists, [*SCOPE, "asset_id"], "left")
 
 
+def ranking_with_matches(edges: DataFrame, assets: DataFrame, threshold: float, limit: int, **filters: str) -> DataFrame:
+    """The whole ranking, each asset with its first ``limit`` matches."""
+    return with_matches(ranking(edges, assets, threshold, **filters), edges, assets, threshold, limit)
+
+
 def paged(df: DataFrame, order: list[Column], page: int, size: int) -> tuple[DataFrame, PageInfo]:
     """One page in the given total order, and its numbers; a page beyond the end is empty."""
     total = df.count()

@@ -239,8 +239,9 @@ class Registry:
     def ranking(self, project_id: str, recipe: str, threshold: str | None = None, match_limit: str | None = None, id_: str | None = None, path: str | None = None, page: str | None = None, page_size: str | None = None):
         _, a, t, _ = self.scope(project_id, recipe, threshold)
         limit = parsing.positive_int(match_limit, 2**31 - 1, "match_limit")
-        rows = reads.ranking_with_matches(self.state.edges(project_id, a.algorithm_id), self.assets, t, limit, id_=id_, path_term=path)
-        return reads.paged(rows, reads.ranking_order(), *parsing.page_of(page, page_size))
+        edges = self.state.edges(project_id, a.algorithm_id)
+        rows, info = reads.paged(reads.ranking(edges, self.assets, t, id_=id_, path_term=path), reads.ranking_order(), *parsing.page_of(page, page_size))
+        return reads.with_matches(rows, edges, self.assets, t, limit).orderBy(*reads.ranking_order()), info
 
     def clusters(self, project_id: str, recipe: str, threshold: str | None = None, generation: int | None = None, id_: str | None = None, path: str | None = None, page: str | None = None, page_size: str | None = None):
         """A page of (cluster_id, max_similarity, assets), its numbers, and the generation."""
