@@ -141,10 +141,11 @@ def members_of(hashes: DataFrame, exact: int, near: int) -> DataFrame:
 
     rows = hashes.where(F.col("algorithm_id").isin(exact, near) & F.col("asset_id").isNotNull() & F.col("project_id").isNotNull())
     rows = rows.select("algorithm_id", "project_id", "asset_id", "created_at", plain_hash().alias("h"))
-    ok = F.when(F.col("h").rlike("^[0-9a-f]{64}$"), F.col("h"))
-    # an asset has few hashes of a recipe, so its set is small
-    per = rows.groupBy("algorithm_id", "project_id", "asset_id").agg(F.max("created_at").alias("created_at"), F.collect_set(ok).alias("hs"))
-    return per.select("algorithm_id", "project_id", "asset_id", "created_at", F.xxhash64("project_id").alias("project"), F.explode("hs").alias("h")).select("algorithm_id", "project_id", "asset_id", "created_at", "project", *hash_words(F.col("h")))
+    # both sides combine before their shuffle, and no list is built, whatever an asset holds
+    of = ["algorithm_id", "project_id", "asset_id"]
+    made = rows.groupBy(*of).agg(F.max("created_at").alias("created_at"))
+    usable = rows.where(F.col("h").rlike("^[0-9a-f]{64}$")).select(*of, "h").distinct()
+    return usable.join(made, of).select(*of, "created_at", F.xxhash64("project_id").alias("project"), *hash_words(F.col("h")))
 
 
 def unrecorded(pairs: DataFrame, edges: DataFrame) -> DataFrame:
