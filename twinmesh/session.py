@@ -32,16 +32,15 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
-        self.paths: dict[int, str] = {}
 
-    def store(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Writes df and returns it as read back, with the same schema."""
+    def store(self, df: DataFrame, name: str = "t", partition_by: list[str] | None = None) -> DataFrame:
+        """Writes df, in folders by the columns of partition_by, and returns it as read back, with the
+        same schema."""
         path = f"{self.root}/{self.count:03d}-{name}"
         self.count += 1
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(path, partitionBy=partition_by)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        out._twinmesh_path = path  # noqa: SLF001
+        out._twinmesh_path = path
         return out
 
     def drop(self, *dfs: DataFrame) -> None:
