@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from twinmesh.session import Scratch
 
-BUCKETS = 16
+#: Folders of the written index; at a hundred terabytes, some thousands.
+BUCKETS = 32
 #: Band keys of more signatures than this are refined by sub-bands.
 WIDE_KEY = 1_000
 WORDS = ["w0", "w1", "w2", "w3"]
@@ -70,20 +71,18 @@ class HistoryIndex:
         self.members: list[DataFrame] = []
 
     def band_keys(self, signatures: DataFrame) -> DataFrame:
-        """One row per signature and band: (key, band, signature columns)."""
+        """One row per signature and band: (key, band, signature columns, bucket)."""
         near = signatures.where(F.col("algorithm_id") == self.near).withColumn("b", F.explode(F.array(*[_band(i, c) for i, c in enumerate(self.cuts)])))
         exact = signatures.where(F.col("algorithm_id") == self.exact).withColumn("b", F.struct(F.lit(-1).alias("band"), F.xxhash64(*SIGNATURE).alias("key")))
-        return near.unionByName(exact).select("b.key", "b.band", *SIGNATURE)
+        return near.unionByName(exact).select("b.key", "b.band", *SIGNATURE, F.pmod("b.key", F.lit(BUCKETS)).cast("int").alias("bucket"))
 
     def append(self, members: DataFrame) -> None:
         """Accepts members (algorithm_id, project_id, asset_id, created_at, project, w0..w3): adds
-        their rows, and the keys of their signatures that no earlier batch has."""
+        their rows and the keys of their signatures. Older tables aren't read; a signature that
+        comes again has its keys once per batch, which ``matches`` makes one again."""
         members = self.scratch.store(members, "members")
-        signatures = members.select(*SIGNATURE).distinct()
-        for old in self.members:
-            signatures = signatures.join(old.select(*SIGNATURE), SIGNATURE, "left_anti")
-        keys = self.band_keys(signatures).withColumn("bucket", F.pmod("key", F.lit(BUCKETS)).cast("int"))
-        self.keys.append(self.scratch.store(keys.repartition("bucket"), "keys"))
+        keys = self.band_keys(members.select(*SIGNATURE).distinct())
+        self.keys.append(self.scratch.store(keys.repartition("bucket"), "keys", ["bucket"]))
         self.members.append(members)
 
     def _all(self, tables: list[DataFrame]) -> DataFrame:
@@ -108,9 +107,13 @@ class HistoryIndex:
         """Pairs of signatures (algorithm_id, project, w0..w3, o_w0..o_w3) of which the first is in
         the batch (members already appended) and the second anywhere in the index, equal or near;
         a signature matches itself."""
-        probes = self.band_keys(batch.select(*SIGNATURE).distinct())
-        stored = self._all(self.keys).drop("bucket")
-        # the join and the refinement read the same counts: few keys are wide, the rest isn't touched
+        probes = self.scratch.store(self.band_keys(batch.select(*SIGNATURE).distinct()), "probes")
+        hit = [r.bucket for r in probes.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+        at = ["bucket", "key"]
+        # the history is read once, and only rows whose key a probe has go on
+        stored = self._all(self.keys).where(F.col("bucket").isin(hit)).join(probes.select(*at).distinct(), at, "left_semi")
+        stored = self.scratch.store(stored.drop("bucket"), "hits")
+        probes = probes.drop("bucket")
         wide = self.scratch.store(stored.where("band >= 0").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WIDE_KEY).select("key"), "wide")
         other = lambda x: x.select("key", F.col("algorithm_id").alias("o_alg"), F.col("project").alias("o_project"), *[F.col(w).alias(f"o_{w}") for w in WORDS])
         if wide.isEmpty():
