@@ -6,8 +6,12 @@ Iterative operators cut their lineage by writing Parquet tables into the folder
 
 from __future__ import annotations
 
+import hashlib
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,10 +29,33 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the executors' Python workers this package, once per application, so that they needn't have
+    it on their path: as an archive in the shared folder."""
+    sc = spark.sparkContext
+    if getattr(sc, "_twinmesh_shipped", False):
+        return
+    package, buffer = Path(__file__).parent, io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    data = buffer.getvalue()
+    target = f"{shared_folder(spark)}/twinmesh-{hashlib.sha256(data).hexdigest()[:16]}-{uuid.uuid4().hex[:8]}.zip"
+    path = sc._jvm.org.apache.hadoop.fs.Path(target)
+    stream = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    try:
+        stream.write(bytearray(data))
+    finally:
+        stream.close()
+    sc.addPyFile(target)
+    sc._twinmesh_shipped = True
+
+
 class Scratch:
     """Written tables of one operator run; ``store`` cuts lineage, ``drop`` removes a table early."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
