@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinmesh.llm.abuse_lexicon import CLASSES, DISGUISED, PARTS, RULES
+from twinmesh.session import ship
 
 FOUND_AT = 0.5
 CATEGORIES = ("abusive", "hateful", "sexual")
@@ -210,6 +211,7 @@ def score_documents(documents: DataFrame) -> DataFrame:
 
     Null and blank texts score 0; score is the highest of the three; source is plain (trimmed, lower
     case, blanks and hyphens as underscores), null where it is null."""
+    ship(documents.sparkSession)
     plain = F.regexp_replace(F.lower(F.trim("source")), "[ -]+", "_")
     scored = documents.select("doc_id", "text", plain.alias("source")).mapInArrow(_score, "doc_id bigint, abusive double, hateful double, sexual double, source string")
     return scored.withColumn("score", F.greatest(*CATEGORIES))

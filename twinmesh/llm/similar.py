@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from twinmesh.session import Scratch
+from twinmesh.session import Scratch, ship
 
 #: The sample the centroids are fitted on has at most this many rows, whatever the table's size.
 SAMPLE = 65_536
@@ -313,6 +313,7 @@ def closest(spark: SparkSession, items: DataFrame, metric: Metric, k: int, scrat
 
 def vector_items(results: DataFrame) -> DataFrame:
     """(asset_id, item) of the usable vectors of recipe image.embed64."""
+    ship(results.sparkSession)
     rows = results.where((F.lower(F.trim("recipe")) == "image.embed64") & F.col("vectors").isNotNull() & F.col("asset_id").isNotNull())
     return rows.select("asset_id", "vectors").mapInArrow(unit_items, "asset_id string, item binary")
 
@@ -321,6 +322,7 @@ def hash_items(hashes: DataFrame) -> DataFrame:
     """(asset_id, item) of the usable hashes of algorithm 3."""
     from twinmesh.sources.tables import plain_hash
 
+    ship(hashes.sparkSession)
     rows = hashes.where((F.col("algorithm_id") == 3) & F.col("asset_id").isNotNull()).select("asset_id", plain_hash().alias("h")).where(F.col("h").rlike("^[0-9a-f]{64}$"))
     return rows.select("asset_id", F.unhex("h").alias("item")).mapInArrow(turned_hashes, "asset_id string, item binary")
 

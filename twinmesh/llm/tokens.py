@@ -9,6 +9,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from twinmesh.session import ship
+
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -35,6 +37,7 @@ def encoding(path: str):
 def with_tokens(df: DataFrame, schema: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """df, whose last column is the text, with n_tokens (int) in its place, of whole texts. A null text has
     no tokens. ``schema`` is that of the columns before the text."""
+    ship(df.sparkSession)
     names = df.columns[:-1]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

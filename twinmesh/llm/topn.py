@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinmesh.session import ship
+
 KEYS = ["algorithm_id", "asset_id"]
 RUN = "algorithm_id int, asset_id string, similarity double, distance int, other_asset_id string, run int"
 OUT = pa.schema([("algorithm_id", pa.int32()), ("asset_id", pa.string()), ("rank_no", pa.int32()), ("other_asset_id", pa.string()), ("similarity", pa.float64()), ("distance", pa.int32())])
@@ -166,6 +168,7 @@ def top_matches(edges: DataFrame, n: int) -> DataFrame:
     ``edges`` has one row per (algorithm_id, asset_id, other_asset_id), as ``current_edges`` gives
     it: no null in these columns or in similarity. Groups of fewer rows give what they have; an
     empty table gives no rows; other columns are ignored."""
+    ship(edges.sparkSession)
     lean = edges.select(*KEYS, "similarity", "distance", "other_asset_id")
     runs = lean.sortWithinPartitions(*KEYS, F.desc("similarity"), F.col("distance").asc_nulls_last(), "other_asset_id").mapInArrow(_cut(n), RUN)
     return runs.repartition(*KEYS).mapInArrow(_merge(n), "algorithm_id int, asset_id string, rank_no int, other_asset_id string, similarity double, distance int")
