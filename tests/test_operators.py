@@ -135,9 +135,3 @@ def test_key_states_split_heavy_keys(spark):
     states = skew.key_states(df, "k", "s", "v", Scratch(spark, "t"))
     assert [r.key for r in skew.heavy_keys(states, 0.3).collect()] == ["hot"]
     assert skew.key_states(df.where("false"), "k", "s", "v", Scratch(spark, "t")).count() == 0
-
-
-def test_salted_join(spark):
-    big = spark.createDataFrame([("h", i) for i in range(100)] + [(None, 1), ("x", 2)], "k string, v int")
-    small = spark.createDataFrame([("h", "H"), ("y", "Y"), (None, "N")], "k string, w string")
-    assert skew.salted_join(big, small, ["k"]).count() == 100

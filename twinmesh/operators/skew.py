@@ -105,12 +105,3 @@ def heavy_keys(states: DataFrame, share: float) -> DataFrame:
     """The non-null keys that hold at least ``share`` of all rows: at most 1/share of them."""
     total = states.agg(F.sum("n_rows")).first()[0] or 0
     return states.where(F.col("key").isNotNull() & (F.col("n_rows") >= F.lit(total * share)))
-
-
-def salted_join(big: DataFrame, small: DataFrame, on: list[str], salts: int = 16) -> DataFrame:
-    """Inner join in which every key of ``big`` is spread over ``salts`` partitions and the rows of
-    ``small`` are repeated as often: for keys that hold a large share of ``big`` and few rows of
-    ``small``. Null keys match nothing."""
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in big.columns]), F.lit(salts)))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-    return left.join(right, [*on, "_salt"]).drop("_salt")
