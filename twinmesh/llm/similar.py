@@ -151,8 +151,8 @@ def _assign(metric: Metric, centroids, blocks):
         for b in batches:
             vid = b.column(0).to_numpy()
             items = _matrix(b.column(1), np.float32 if metric.cosine else np.uint8)
-            for i in range(0, len(vid), 2048):
-                v, x = vid[i : i + 2048], items[i : i + 2048]
+            for i in range(0, len(vid), 1024):
+                v, x = vid[i : i + 1024], items[i : i + 1024]
                 row, at = nearest_lists(metric, points(metric, x), c)
                 n = per[at]
                 own = (v[row] * 2654435761 >> 7) % n  # the block that stores the item
