@@ -58,6 +58,35 @@ def test_hashes_against_brute_force(spark):
     assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.03 * len(want)
 
 
+def test_places_go_to_different_assets(spark):
+    # 12 assets of one group, each with 4 nearly equal vectors: the 9 closest items are of 3 assets
+    rng = np.random.default_rng(3)
+    centre = rng.standard_normal(64)
+    v = np.repeat(centre + 0.1 * rng.standard_normal((12, 64)), 4, 0)
+    v = v + 0.001 * rng.standard_normal(v.shape)
+    names = [f"a{i // 4:04}" for i in range(len(v))]
+    df = spark.createDataFrame([(names[i], "image.embed64", [list(map(float, x)) for x in v[i : i + 4]]) for i in range(0, len(v), 4)], "asset_id string, recipe string, vectors array<array<float>>")
+    u = v.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    best = S.closest(spark, S.vector_items(df), S.COSINE, 5, Scratch(spark, "t"))
+    assert {r["count"] for r in best.groupBy("asset_id").count().collect()} == {5} and best.select("asset_id").distinct().count() == 12
+    assert pairs_of(best) == brute(names, np.round(2 - 2 * u @ u.T, 7), S.COSINE.limit, 5)
+
+
+def test_shared_items_count_once_per_asset(spark):
+    # frames that several assets share: places are of assets, not of items or of sets of assets
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2, 256)
+    bits = np.array([base] * 30)
+    for i, row in enumerate(bits):
+        row[rng.choice(256, 1 + i % 15, replace=False)] ^= 1
+    rows = [(f"a{a:02}", bits[i]) for i in range(30) for a in {i % 9, i % 4, i // 6}]
+    df = spark.createDataFrame([(a, 3, bytes(np.packbits(b)).hex()) for a, b in rows], "asset_id string, algorithm_id int, hash string")
+    x = np.array([b for _, b in rows])
+    want = brute([a for a, _ in rows], (x[:, None, :] != x[None, :, :]).sum(2), 38, 5)
+    assert pairs_of(S.closest(spark, S.hash_items(df), S.HAMMING, 5, Scratch(spark, "t"))) == want
+
+
 def test_early_abandoning_equals_full_scan():
     rng = np.random.default_rng(2)
     x = rng.standard_normal((5000, 64)).astype(np.float32)

@@ -11,7 +11,9 @@ rotation that keeps Hamming distance. After it, any block of columns is a fair s
    A list of more than BLOCK expected items is cut into blocks that each query visits.
 3. In a list, items lie in column blocks. Distances grow block by block for all candidates of a
    chunk of queries; a hypothesis test on the partial distance abandons pairs that can't reach the
-   threshold or the query's current k-th best, and the rest is computed for survivors only.
+   threshold or the query's current last place, and the rest is computed for survivors only. Places
+   are of different assets, k + 1 of them, since one may be the query's own; an asset takes one
+   place however many items it has.
 4. The results of all lists are merged per asset.
 
 Nothing is dropped but by the approximation of 2 and 3; recall is measured against brute force.
@@ -158,13 +160,20 @@ def _assign(metric: Metric, centroids, blocks):
                 own = (v[row] * 2654435761 >> 7) % n  # the block that stores the item
                 rep = np.repeat(np.arange(len(row)), n)  # every block of the list is visited
                 block = np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
+                stored = own[rep] == block
+                assets = b.column(2).take(pa.array(i + row[rep], mask=~stored))  # null where the item only probes
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(at[rep].astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(own[rep] == block), pa.array(v[row[rep]]), _binary(x[row[rep]])], names=["list", "block", "stored", "vid", "item"]
+                    [pa.array(at[rep].astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(stored), pa.array(v[row[rep]]), _binary(x[row[rep]]), assets], names=["list", "block", "stored", "vid", "item", "assets"]
                 )
 
     return assign
 
 
+def _places(n: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each group of groups of n."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
 class ColumnBlocks:
     """The stored items of a list in column blocks, and the tests that abandon candidates."""
 
@@ -199,12 +208,15 @@ class ColumnBlocks:
             return (d * d).sum(1)
         return np.bitwise_count(q.view(np.uint64)[row, a // 64 : b // 64] ^ self.blocks[k][col]).sum(1)
 
-    def search(self, q: np.ndarray, qid: np.ndarray, vid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query row, stored row, distance) of the k closest stored items of each query within the
-        limit; ties by vid; an item isn't its own match. Candidates come in chunks, and the k-th best so
-        far of a query tightens its tests in the next chunk."""
+    def search(self, q: np.ndarray, qid: np.ndarray, vid: np.ndarray, k: int, starts: np.ndarray | None = None, assets: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query row, entry, distance) of the k closest different assets of each query within the limit;
+        ties by asset; an item isn't its own match. Entries are (stored row, asset): those of row i are
+        assets[starts[i] : starts[i + 1]]; without assets each row is one, of the asset vid[i]. Candidates come in
+        chunks, and the k-th best asset so far of a query tightens its tests in the next chunk."""
+        if starts is None or assets is None:
+            starts, assets = np.arange(len(vid) + 1), vid
         limit = np.full(len(q), self.metric.limit)
-        rows, cols, dist = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        rows, entries, dist = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         for at in range(0, len(vid), 4096):
             part = self if len(vid) <= 4096 else ColumnBlocks.__new__(ColumnBlocks)._slice(self, at)
             row, col = np.nonzero(part.first(q) <= part.bound(limit, part.cuts[0][1])[:, None])
@@ -217,15 +229,20 @@ class ColumnBlocks:
                 row, col, d = row[keep], col[keep], d[keep]
             if self.metric.cosine:
                 d = np.round(d, 7)
-            rows, cols, dist = np.append(rows, row), np.append(cols, at + col), np.append(dist, d)
-            order = np.lexsort((vid[cols], dist, rows))
-            rows, cols, dist = rows[order], cols[order], dist[order]
-            starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.empty(0, np.int64)
-            rank = np.arange(len(rows)) - np.repeat(starts, np.diff(np.append(starts, len(rows))))
+            n = starts[at + col + 1] - starts[at + col]
+            entry = np.repeat(starts[at + col], n) + _places(n)
+            rows, entries, dist = np.append(rows, np.repeat(row, n)), np.append(entries, entry), np.append(dist, np.repeat(d, n))
+            order = np.lexsort((dist, assets[entries], rows))  # the closest item of each asset
+            rows, entries, dist = rows[order], entries[order], dist[order]
+            once = np.r_[True, (rows[1:] != rows[:-1]) | (assets[entries[1:]] != assets[entries[:-1]])][: len(rows)]
+            rows, entries, dist = rows[once], entries[once], dist[once]
+            order = np.lexsort((assets[entries], dist, rows))
+            rows, entries, dist = rows[order], entries[order], dist[order]
+            rank = _places(np.bincount(rows, minlength=len(q)))
             full = rank == k - 1
             limit[rows[full]] = np.minimum(limit[rows[full]], dist[full])
-            rows, cols, dist = rows[rank < k], cols[rank < k], dist[rank < k]
-        return rows, cols, dist
+            rows, entries, dist = rows[rank < k], entries[rank < k], dist[rank < k]
+        return rows, entries, dist
 
     def _slice(self, whole: ColumnBlocks, at: int) -> ColumnBlocks:
         self.metric, self.cuts = whole.metric, whole.cuts
@@ -241,13 +258,15 @@ def _scan(metric: Metric, k: int):
         key = None
 
         def run() -> Iterator[pa.RecordBatch]:
-            stored, vid, items = (np.concatenate(x) for x in zip(*held))
+            stored, vid, items = (np.concatenate(x) for x in list(zip(*held))[:3])
             if stored.sum() and len(vid) > 1:
                 blocks, ids = ColumnBlocks(metric, items[stored]), vid[stored]
+                lists = pa.concat_arrays([x[3] for x in held]).filter(pa.array(stored))
+                starts, assets = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())], lists.flatten().to_numpy()
                 for i in range(0, len(vid), QUERIES):
-                    row, col, d = blocks.search(items[i : i + QUERIES], vid[i : i + QUERIES], ids, k)
+                    row, entry, d = blocks.search(items[i : i + QUERIES], vid[i : i + QUERIES], ids, k, starts, assets)
                     if len(row):
-                        yield pa.RecordBatch.from_arrays([pa.array(vid[i + row]), pa.array(ids[col]), pa.array(d)], names=["vid", "other", "distance"])
+                        yield pa.RecordBatch.from_arrays([pa.array(vid[i + row]), pa.array(assets[entry]), pa.array(d)], names=["vid", "other_asset", "distance"])
 
         for b in batches:
             if not b.num_rows:
@@ -260,7 +279,7 @@ def _scan(metric: Metric, k: int):
                     yield from run()
                     held = []
                 key = at[i]
-                held.append(tuple(c[i:j].copy() for c in cols))
+                held.append((*(c[i:j].copy() for c in cols), b.column(5).slice(i, j - i)))
         if held:
             yield from run()
 
@@ -275,17 +294,17 @@ def closest(spark: SparkSession, items: DataFrame, metric: Metric, k: int, scrat
     Rows with a null asset or item are ignored, repeated rows count once, an empty table gives
     no rows."""
     pairs = items.where(F.col("asset_id").isNotNull() & F.col("item").isNotNull()).distinct()
-    w = Window.partitionBy("item").orderBy("asset_id")
+    # assets by number, in the order of their ids
+    names = pairs.select("asset_id").distinct().repartitionByRange("asset_id").sortWithinPartitions("asset_id")
+    names = scratch.store(names.select(F.monotonically_increasing_id().alias("asset"), "asset_id"), "names")
+    pairs = pairs.join(names, "asset_id").select("asset", "item")
+    w = Window.partitionBy("item").orderBy("asset")
     first = pairs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k + 1)
-    reps = first.groupBy("item").agg(F.sort_array(F.collect_list("asset_id")).alias("assets"))
-    # ids follow the smallest asset, so that ties by vid are ties by asset
-    reps = reps.withColumn("a0", F.col("assets")[0]).repartitionByRange("a0", "item").sortWithinPartitions("a0", "item")
+    reps = first.groupBy("item").agg(F.sort_array(F.collect_list("asset")).alias("assets"))
     reps = scratch.store(reps.select(F.monotonically_increasing_id().alias("vid"), "item", "assets"), "items")
     facts = reps.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("assets") > k).alias("full")).first()
     if not facts.n:
-        return pairs.select("asset_id", F.col("asset_id").alias("other_asset_id"), F.lit(1).alias("rank_no")).where("false")
-    # an asset's own items may stand before its k-th partner in a list
-    own = reps.select(F.explode("assets").alias("a")).groupBy("a").count().agg(F.max("count")).first()[0]
+        return names.select("asset_id", F.col("asset_id").alias("other_asset_id"), F.lit(1).alias("rank_no")).where("false")
     lists = max(1, min(int(metric.lists_per_root * facts.n**0.5), SAMPLE // 8))
     rows = min(SAMPLE, max(64 * lists, 4096) if metric.cosine else 8 * lists)
     sample = reps.select("item").sample(fraction=min(1.0, 1.1 * rows / facts.n), seed=SEED).limit(rows).toArrow().column(0).combine_chunks()
@@ -294,21 +313,22 @@ def closest(spark: SparkSession, items: DataFrame, metric: Metric, k: int, scrat
     seen = np.bincount(np.concatenate([nearest_lists(metric, points(metric, sample[i : i + 2048]), c)[1] for i in range(0, len(sample), 2048)]), minlength=len(c))
     blocks = np.maximum(1, np.ceil(seen * (facts.n / len(sample)) / BLOCK)).astype(np.int64)
     sc = spark.sparkContext
-    spread = reps.select("vid", "item").mapInArrow(_assign(metric, sc.broadcast(c), sc.broadcast(blocks)), "list int, block int, stored boolean, vid bigint, item binary")
+    spread = reps.select("vid", "item", "assets").mapInArrow(_assign(metric, sc.broadcast(c), sc.broadcast(blocks)), "list int, block int, stored boolean, vid bigint, item binary, assets array<bigint>")
     spread = spread.repartition("list", "block").sortWithinPartitions("list", "block")
-    found = spread.mapInArrow(_scan(metric, k + own), "vid bigint, other bigint, distance double")
-    found = found.groupBy("vid", "other").agg(F.min("distance").alias("distance"))
-    theirs = found.join(reps.select(F.col("vid").alias("other"), F.explode("assets").alias("other_asset_id")), "other").select("vid", "other_asset_id", "distance")
-    both = theirs.join(reps.select("vid", F.explode("assets").alias("asset_id")), "vid").select("asset_id", "other_asset_id", "distance")
-    copies = reps.where(F.size("assets") > 1).select(F.explode("assets").alias("asset_id"), "assets").select("asset_id", F.explode("assets").alias("other_asset_id"), F.lit(0.0).alias("distance"))
+    found = spread.mapInArrow(_scan(metric, k + 1), "vid bigint, other_asset bigint, distance double")  # one may be the query's own asset
+    found = found.groupBy("vid", "other_asset").agg(F.min("distance").alias("distance"))
+    both = found.join(reps.select("vid", F.explode("assets").alias("asset")), "vid").select("asset", "other_asset", "distance")
+    copies = reps.where(F.size("assets") > 1).select(F.explode("assets").alias("asset"), "assets").select("asset", F.explode("assets").alias("other_asset"), F.lit(0.0).alias("distance"))
     both = both.unionByName(copies)
     if facts.full:  # copies beyond the first k + 1 assets of their item
         full = reps.where(F.size("assets") > k).select("item", "assets")
-        more = pairs.join(full, "item").where(~F.array_contains("assets", F.col("asset_id")))
-        both = both.unionByName(more.select("asset_id", F.explode("assets").alias("other_asset_id"), F.lit(0.0).alias("distance")))
-    both = both.where("asset_id <> other_asset_id").groupBy("asset_id", "other_asset_id").agg(F.min("distance").alias("distance"))
-    best = Window.partitionBy("asset_id").orderBy("distance", "other_asset_id")
-    return both.withColumn("rank_no", F.row_number().over(best)).where(F.col("rank_no") <= k).select("asset_id", "other_asset_id", "rank_no")
+        more = pairs.join(full, "item").where(~F.array_contains("assets", F.col("asset")))
+        both = both.unionByName(more.select("asset", F.explode("assets").alias("other_asset"), F.lit(0.0).alias("distance")))
+    both = both.where("asset <> other_asset").groupBy("asset", "other_asset").agg(F.min("distance").alias("distance"))
+    best = Window.partitionBy("asset").orderBy("distance", "other_asset")
+    ranked = both.withColumn("rank_no", F.row_number().over(best)).where(F.col("rank_no") <= k)
+    theirs = names.select(F.col("asset").alias("other_asset"), F.col("asset_id").alias("other_asset_id"))
+    return ranked.join(names, "asset").join(theirs, "other_asset").select("asset_id", "other_asset_id", "rank_no")
 
 
 def vector_items(results: DataFrame) -> DataFrame:
