@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from twinmesh.functions import hashing
 from twinmesh.operators import exact, hamming, mutations, reads, skew
 from twinmesh.operators.components import components
 from twinmesh.session import Scratch
@@ -135,3 +136,28 @@ def test_key_states_split_heavy_keys(spark):
     states = skew.key_states(df, "k", "s", "v", Scratch(spark, "t"))
     assert [r.key for r in skew.heavy_keys(states, 0.3).collect()] == ["hot"]
     assert skew.key_states(df.where("false"), "k", "s", "v", Scratch(spark, "t")).count() == 0
+
+
+def test_class_edges_at_project_thresholds(spark):
+    rng = random.Random(5)
+    flip = lambda h, n: f"{int(h, 16) ^ sum(1 << p for p in rng.sample(range(256), n)):064x}"
+    rows = []
+    for project in ("p80", "p90", "none", "unlisted"):
+        base = [f"{rng.getrandbits(256):064x}" for _ in range(40)]
+        rows += [(project, 3, h) for h in base + [flip(h, 5 + i) for i, h in enumerate(base)] + [flip(base[0], 51), flip(base[0], 52)]]
+    rows += [("p80", 3, "ff"), ("p80", 3, None), rows[0], ("p80", 1, rows[0][2])]
+    hashes = spark.createDataFrame(rows, "project_id string, algorithm_id int, hash string")
+    algorithms = spark.createDataFrame([(3, "hamming", 256), (1, "exact", None)], "algorithm_id int, comparison string, bits int")
+    projects = spark.createDataFrame([("p80", 80.0), ("p90", 90.0), ("none", None)], "project_id string, hamming_threshold double")
+    want = set()
+    for project, threshold in (("p80", 80.0), ("p90", 90.0), ("none", 85.0)):
+        mine = sorted({h for p, a, h in rows if p == project and a == 3 and h and len(h) == 64})
+        for i, x in enumerate(mine):
+            for y in mine[i + 1 :]:
+                d = (int(x, 16) ^ int(y, 16)).bit_count()
+                if hashing.similarity_of(d, 256) >= threshold:
+                    want.add((project, 3, x, y, d, hashing.similarity_of(d, 256)))
+    assert len(want) > 90
+    for block in (16, 4096):  # several blocks a scope, and one
+        got = [tuple(r) for r in hamming.project_edges(hashes, algorithms, projects, 85.0, Scratch(spark, "t"), block).collect()]
+        assert set(got) == want and len(got) == len(want)

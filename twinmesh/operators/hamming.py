@@ -7,16 +7,23 @@ Equal hashes are one class, so only distinct hashes are compared. Two ways give
   join. A band value that very many hashes share is cut again by the other bits.
 - blocks: where bands would be too short to select anything, hashes are dealt into blocks and
   every pair of blocks is one bucket of an equi-join: all pairs, evenly spread, and no broadcast.
+
+At the thresholds of the projects bands are always too short; there, ``project_edges`` compares all pairs
+of blocks whose number follows the scope's size.
 """
 
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinmesh.functions import hashing
+from twinmesh.operators import statistics
 from twinmesh.session import Scratch
 
 SCOPE = ["project_id", "algorithm_id"]
@@ -24,6 +31,9 @@ SCOPE = ["project_id", "algorithm_id"]
 LEAST_BAND = 10
 #: Band values shared by more hashes than this are cut again.
 WIDE = 1_000
+#: Hashes of a block, and about the pairs that a task compares, where all pairs of a scope are compared.
+BLOCK = 4_096
+TASK_PAIRS = 50_000_000
 
 
 def _cuts(positions: list[int], parts: int, seed: int) -> list[list[int]]:
@@ -114,6 +124,75 @@ def class_edges(hashes: DataFrame, bits: int, threshold: float, scratch: Scratch
     return pairs.withColumn("distance", F.col("distance").cast("int")).withColumn("similarity", hashing.similarity(F.col("distance"), bits))
 
 
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(scope, lo, hi, b, d_max, item), by bucket (scope, lo, hi), to the pairs (scope, item, other, distance)
+    of block lo with block hi, or within one block, that are within d_max."""
+    held: list[pa.RecordBatch] = []
+    key = None
+
+    def run() -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        items = rows.column("item").to_pylist()
+        x = np.frombuffer(b"".join(items), np.uint8).reshape(len(items), -1)
+        x = np.pad(x, ((0, 0), (0, -x.shape[1] % 8))).view(np.uint64)
+        b = rows.column("b").to_numpy()
+        scope, lo, hi = key
+        d_max = rows.column("d_max")[0].as_py()
+        left, right = np.flatnonzero(b == lo), np.flatnonzero(b == hi)
+        words = [np.ascontiguousarray(x[right, w]) for w in range(x.shape[1])]
+        for i in range(0, len(left), 64):
+            part = left[i : i + 64]
+            d = np.zeros((len(part), len(right)), np.uint16)
+            for w, other in enumerate(words):
+                d += np.bitwise_count(x[part, w][:, None] ^ other)
+            row, col = np.nonzero(d <= d_max)
+            if lo == hi:
+                row, col = row[part[row] < right[col]], col[part[row] < right[col]]
+            if len(row):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(row), scope)), pa.array([items[j] for j in part[row]], pa.binary()), pa.array([items[j] for j in right[col]], pa.binary()), pa.array(d[row, col].astype(np.int32))], names=["scope", "item", "other", "distance"]
+                )
+
+    for batch in batches:
+        at = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)], 1)
+        cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1).tolist(), len(at)] if len(at) else []
+        for i, j in zip(cuts, cuts[1:]):
+            if held and tuple(at[i].tolist()) != key:
+                yield from run()
+                held = []
+            key = tuple(at[i].tolist())
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield from run()
+
+
+def project_edges(hashes: DataFrame, algorithms: DataFrame, projects: DataFrame, default: float, scratch: Scratch, block: int = BLOCK) -> DataFrame:
+    """Pairs of distinct hashes whose similarity reaches their project's effective threshold, for all Hamming
+    recipes: (project_id, algorithm_id, hash, other_hash, distance, similarity), smaller hash first.
+
+    All pairs of a scope are compared, whatever the threshold. A scope has one block for each ``block``
+    hashes, and each pair of blocks is a bucket, so buckets stay of one size; tasks follow the number of pairs.
+    Hashes of another length than the recipe's, nulls and projects without a row take no part."""
+    spark = hashes.sparkSession
+    recipes = algorithms.where("comparison = 'hamming' and bits is not null").select("algorithm_id", "bits")
+    tenths = F.round(F.greatest(F.col("threshold"), F.lit(0.0)) * 10).cast("int").alias("tenths")
+    sizes = sorted({r.bits for r in recipes.select("bits").distinct().collect()})
+    reach = spark.createDataFrame([(n, t, hashing.max_distance(n, t / 10)) for n in sizes for t in range(1001)], "bits int, tenths int, d_max int")
+    distinct = hashes.join(F.broadcast(recipes), "algorithm_id").where(F.col("hash").rlike("^[0-9a-f]+$") & (4 * F.length("hash") == F.col("bits"))).select(*SCOPE, "hash", "bits").dropna().distinct()
+    distinct = scratch.store(distinct, "distinct")
+    goal = statistics.thresholds(projects, default).select("project_id", tenths)
+    scopes = distinct.groupBy(*SCOPE, "bits").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(goal), "project_id").join(F.broadcast(reach), ["bits", "tenths"]).where("d_max >= 0")
+    scopes = scratch.store(scopes.select(F.monotonically_increasing_id().alias("scope"), *SCOPE, "bits", "d_max", "n", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks")), "scopes")
+    pairs = scopes.agg(F.sum(F.col("n").cast("double") * F.col("n") / 2)).first()[0] or 0
+    tasks = int(min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), pairs // TASK_PAIRS), 20_000))
+    rows = distinct.join(F.broadcast(scopes.drop("bits", "n")), SCOPE).withColumn("b", F.pmod(F.xxhash64("hash"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("scope", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "b", "d_max", F.unhex("hash").alias("item"))
+    found = rows.repartition(tasks, "scope", "lo", "hi").sortWithinPartitions("scope", "lo", "hi").mapInArrow(_compare, "scope bigint, item binary, other binary, distance int")
+    found = found.join(F.broadcast(scopes.select("scope", *SCOPE, "bits")), "scope").withColumns({"x": F.lower(F.hex("item")), "y": F.lower(F.hex("other"))})
+    return found.select(*SCOPE, F.least("x", "y").alias("hash"), F.greatest("x", "y").alias("other_hash"), "distance", hashing.similarity(F.col("distance"), F.col("bits")).alias("similarity"))
+
+
 def asset_edges(hashes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Directional edges of assets from pairs of hashes: the best frame pair of each two assets, equal
     hashes included (distance 0). Every link is a row, so this is for the hashes of a batch or of recipes

@@ -210,6 +210,14 @@ def audio_class_edges(spark, root):
     return _class_edges(spark, root, {6: (2048, 98.0)})
 
 
+@query(NEAR_SQL, f"goal AS (SELECT DISTINCT project_id, floor(coalesce(hamming_threshold, {DEFAULT_THRESHOLD})::DOUBLE * 10 + 0.5) / 10 AS least_similarity FROM projects)",
+       "one AS (SELECT DISTINCT h.project_id, h.algorithm_id, hash, bits, least_similarity FROM hashes h JOIN algorithms a ON a.algorithm_id = h.algorithm_id JOIN goal g ON g.project_id = h.project_id WHERE comparison = 'hamming' AND 4 * length(hash) = bits)")
+def project_class_edges(spark, root):
+    """Pairs of distinct hashes of all Hamming recipes at each project's effective threshold."""
+    b = Base(spark, root)
+    return hamming.project_edges(b.hashes, b.algorithms, b.projects, DEFAULT_THRESHOLD, Scratch(spark, "near"))
+
+
 @query("""SELECT project_id, algorithm_id, asset_id, other_asset_id, min(distance)::INTEGER AS distance, max(similarity) AS similarity FROM (
   SELECT p.project_id, p.algorithm_id, a.asset_id, b.asset_id AS other_asset_id, p.distance, p.similarity FROM both_ p JOIN holder a ON a.project_id = p.project_id AND a.algorithm_id = p.algorithm_id AND a.hash = p.hash JOIN holder b ON b.project_id = p.project_id AND b.algorithm_id = p.algorithm_id AND b.hash = p.other_hash
   UNION ALL SELECT a.project_id, a.algorithm_id, a.asset_id, b.asset_id, 0, 100.0 FROM holder a JOIN holder b ON a.project_id = b.project_id AND a.algorithm_id = b.algorithm_id AND a.hash = b.hash WHERE a.algorithm_id = 3 AND regexp_full_match(a.hash, '[0-9a-f]{64}'))
