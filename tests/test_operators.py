@@ -161,3 +161,22 @@ def test_class_edges_at_project_thresholds(spark):
     for block in (16, 4096):  # several blocks a scope, and one
         got = [tuple(r) for r in hamming.project_edges(hashes, algorithms, projects, 85.0, Scratch(spark, "t"), block).collect()]
         assert set(got) == want and len(got) == len(want)
+
+
+def test_match_classes_stand_for_all_matches(spark):
+    rng = random.Random(6)
+    rows = [("p", 2, f"a{i:03}", k, "big" if k == 0 and i % 3 else f"h{rng.randrange(60)}") for i in range(120) for k in range(2)] + [("p", 8, "a000", 0, "x"), ("p", 8, "a001", 0, "x"), ("q", 2, "a001", 0, "big"), ("p", 2, "a002", 0, None)]
+    hashes = spark.createDataFrame(rows, HASH)
+    queries = hashes.where("asset_id in ('a000', 'a001', 'a002', 'a050')")
+    got = exact.match_classes(hashes, queries).collect()
+    classes: dict = {}
+    for r in got:
+        classes.setdefault((r.project_id, r.algorithm_id, r.hash), []).append(r)
+    pairs = set()
+    for (project, algorithm, _), mine in classes.items():
+        assert {(r.members, r.class_id, r.queries) for r in mine} == {(len(mine), min(r.asset_id for r in mine), sum(r.wanted for r in mine))}
+        for x in mine:
+            pairs |= {(project, algorithm, x.asset_id, y.asset_id) for y in mine if x.wanted and y.asset_id != x.asset_id}
+    want = {(r.project_id, r.algorithm_id, r.asset_id, r.other_asset_id) for r in exact.matches_of(hashes, queries).collect()}
+    assert pairs | {(p, a, y, x) for p, a, x, y in pairs} == want and ("p", 8, "a000", "a001") in want
+    assert max(len(m) for m in classes.values()) >= 80 and len(got) < len(want)

@@ -59,6 +59,18 @@ def matches_of(hashes: DataFrame, queries: DataFrame) -> DataFrame:
     return both_ways(pairs).distinct().withColumns({"distance": F.lit(0), "similarity": F.lit(100.0)})
 
 
+def match_classes(hashes: DataFrame, queries: DataFrame) -> DataFrame:
+    """Exact matches of the assets in ``queries`` (project, algorithm, asset) without a row per pair: each
+    class that a query asset is in, with its smallest asset, members and the number of query assets, and one
+    row per asset of the class, ``wanted`` where it is a query asset. A query asset matches all other assets of
+    its class, so the rows follow the classes' sizes, however many of their assets are asked for."""
+    asked = queries.select(*SCOPE, "asset_id").dropna().distinct().withColumn("asked", F.lit(True))
+    have = holders(hashes).join(asked, [*SCOPE, "asset_id"], "left").withColumn("wanted", F.coalesce("asked", F.lit(False)))
+    n = F.count(F.lit(1))
+    of = have.groupBy(*CLASS).agg(F.min("asset_id").alias("class_id"), n.alias("members"), F.count_if("wanted").alias("queries")).where("members > 1 and queries > 0")
+    return have.join(of, CLASS).select(*CLASS, "class_id", "members", "queries", "asset_id", "wanted")
+
+
 def stats(hashes: DataFrame, once: bool = False) -> DataFrame:
     """Per project and recipe: duplicate groups, links and assets with a duplicate.
 

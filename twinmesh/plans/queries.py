@@ -175,6 +175,18 @@ def exact_matches(spark, root):
     return exact.matches_of(h, h.where("hash_id % 100 = 0 and algorithm_id = 1"))
 
 
+@query("SELECT h.project_id, h.algorithm_id, h.hash, c.class_id, c.members, c.queries, h.asset_id, w.asset_id IS NOT NULL AS wanted FROM holder h JOIN hit c ON c.project_id = h.project_id AND c.algorithm_id = h.algorithm_id AND c.hash = h.hash LEFT JOIN wanted w ON w.project_id = h.project_id AND w.algorithm_id = h.algorithm_id AND w.asset_id = h.asset_id WHERE h.algorithm_id IN (SELECT algorithm_id FROM algorithms WHERE comparison = 'exact')",
+       "wanted AS (SELECT DISTINCT project_id, algorithm_id, asset_id FROM hashes WHERE hash_id % 100 = 0 AND algorithm_id IN (SELECT algorithm_id FROM algorithms WHERE comparison = 'exact'))",
+       """hit AS (SELECT c.project_id, c.algorithm_id, c.hash, c.class_id, c.members, count(*) AS queries FROM class c JOIN holder h ON h.project_id = c.project_id AND h.algorithm_id = c.algorithm_id AND h.hash = c.hash
+  JOIN wanted w ON w.project_id = h.project_id AND w.algorithm_id = h.algorithm_id AND w.asset_id = h.asset_id GROUP BY 1, 2, 3, 4, 5)""")
+def exact_match_classes(spark, root):
+    """Exact matches of the hashes of all exact recipes whose hash_id is divisible by 100, against all rows,
+    as classes and their members."""
+    b = Base(spark, root)
+    h = b.hashes.join(F.broadcast(b.algorithms.where("comparison = 'exact'").select("algorithm_id")), "algorithm_id", "left_semi")
+    return exact.match_classes(h, h.where("hash_id % 100 = 0"))
+
+
 NEAR_SQL = """
 SELECT a.project_id, a.algorithm_id, a.hash, b.hash AS other_hash, d.distance::INTEGER AS distance, (2000 * (a.bits - d.distance) + a.bits) // (2 * a.bits) / 10.0::DOUBLE AS similarity
 FROM one a JOIN one b ON a.project_id = b.project_id AND a.algorithm_id = b.algorithm_id AND a.hash < b.hash AND length(a.hash) = length(b.hash),
