@@ -115,6 +115,16 @@ def test_scores():
         assert max(A.scores(t)) < A.FOUND_AT, t
 
 
+def test_every_match_is_weighed_in_its_own_context():
+    found = lambda t: max(A.scores(t)) >= A.FOUND_AT
+    assert found("you removed my file, you fucking idiot")
+    assert found("the policy was reviewed last week and then many other files were moved to the archive of the office, you are an idiot")
+    assert found("the policy of the office says that files are kept for ten years and you are an idiot")
+    assert found("the comment with the wording you are an idiot was sent back to the archive, and I say it again, you are an idiot")
+    assert found("I am not saying you are an idiot and then again you are an idiot")
+    assert not found("the comment quoted: you are an idiot") and not found('the quoted wording, "you are an idiot", was sent back')
+
+
 def test_scores_of_whole_texts(spark):
     long = "Nothing to see in batch 12.\n" * 4000 + "You are a worthless idiot.\n"
     docs = [(1, long, "Chat-Thread", 1), (2, None, None, 1), (3, "", "chat thread", 1), (3, "", "chat thread", 1), (4, "word" * 20_000, "x", 1)]

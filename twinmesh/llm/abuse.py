@@ -11,8 +11,11 @@ Transducers, composed in this order over every clause of a text:
    each with a weight. Every distinct set of classes is one symbol, so a rule compiles into one
    regular expression over a string with a symbol per word, and runs in time linear in the words;
 4. context: negation before a match, reported speech and technical use of the words lower the weight.
+   A reporting word reaches REPORT_REACH words on, and not beyond a comma or dash unless a quotation
+   follows it (a colon, or a quotation mark).
 
-A clause scores its best match, not its single words; a text scores 1 - prod(1 - clause score).
+A clause scores its best match of all, each weighed in its own context, not its single words; a text
+scores 1 - prod(1 - clause score).
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from twinmesh.session import ship
 
 FOUND_AT = 0.5
 CATEGORIES = ("abusive", "hateful", "sexual")
+#: Words between a reporting word and a match that it still reports.
+REPORT_REACH = 8
 
 # fixed values: Cyrillic and Greek letters that look like Latin ones
 LOOKALIKE = str.maketrans("авекмнорстухіјѕһԁԛԝьɡαοερντιυκ", "abekmhopctyxijshdqwbgaoepvtiuk")
@@ -40,6 +45,7 @@ INVISIBLE = dict.fromkeys(map(ord, "​‌‍⁠﻿­᠎"))
 SIGNS = str.maketrans("01345789@$!|€", "oieastbgasile")
 SPELLED = re.compile(r"(?<![^\W_])(?:[^\W_][ ._\-]){2,}[^\W_](?![^\W_])")
 WORD = re.compile(r"[^\W_][\w*@$!|€]*(?<![!|])|[*@$!|€]+[\w*@$!|€]+(?<![!|])|[,:—]|(?<= )-(?= )")
+QUOTES = '"“”„«»‹›'
 CLAUSE = re.compile(r"[.?;\n\r]+(?=\s|$)|!+(?=\s|$)|\n+")
 
 
@@ -158,7 +164,8 @@ class Grammar:
 
     def clause(self, text: str) -> dict[str, float]:
         """The score of each category in one folded clause."""
-        found = [classes_of(w) for w in WORD.findall(text)]
+        words = [(m[0], m.start()) for m in WORD.finditer(text)]
+        found = [classes_of(w) for w, _ in words]
         try:
             line = "".join([self.symbol[c] for c in found])
         except KeyError:
@@ -171,16 +178,34 @@ class Grammar:
             return {}
         out: dict[str, float] = {}
         for category, weight, rule in self.rules:
-            if weight > out.get(category, 0) and (m := rule.search(line)):
-                if self.negation.search(line[: m.start()]):
-                    weight *= 0.4
-                if any("REPORT" in c for c in found[: m.start()]):
-                    weight *= 0.4
-                if weight < 0.9 and any("TECH" in c for c in found[max(0, m.start() - 3) : m.end() + 3]):
-                    weight *= 0.6
-                out[category] = max(out.get(category, 0), weight)
+            best, at = out.get(category, 0), 0
+            while weight > best and (m := rule.search(line, at)):
+                best = max(best, self.weigh(weight, line, found, words, text, m.start(), m.end()))
+                at = m.start() + 1
+            if best:
+                out[category] = best
         return out
 
+    def weigh(self, weight: float, line: str, found: list[frozenset[str]], words: list[tuple[str, int]], text: str, start: int, end: int) -> float:
+        """The weight of one match in its context."""
+        if self.negation.search(line[max(0, start - 2) : start]):
+            weight *= 0.4
+        if self.reported(found, words, text, start):
+            weight *= 0.4
+        if weight < 0.9 and any("TECH" in c for c in found[max(0, start - 3) : end + 3]):
+            weight *= 0.6
+        return weight
+
+    def reported(self, found: list[frozenset[str]], words: list[tuple[str, int]], text: str, start: int) -> bool:
+        """Whether a reporting word before the match has it in its scope."""
+        for i in range(start - 1, max(-1, start - 2 - REPORT_REACH), -1):
+            if "REPORT" in found[i]:
+                between = [w for w, _ in words[i + 1 : start]]
+                gap = text[words[i][1] : words[start][1]]
+                if ":" in between or any(x in gap for x in QUOTES) or not any(w in ",-—" for w in between):
+                    return True
+        return False
+
 
 @cache
 def grammar() -> Grammar:
