@@ -125,6 +125,17 @@ def test_every_match_is_weighed_in_its_own_context():
     assert not found("the comment quoted: you are an idiot") and not found('the quoted wording, "you are an idiot", was sent back')
 
 
+def test_the_gate_loses_no_rule():
+    for t in ("I'll show you what my hands are for", "somebody here is a muppet, plain and simple"):
+        assert max(A.scores(t)) >= A.FOUND_AT, t
+    g, rng = A.Grammar(), random.Random(7)
+    symbols = [ch for s, ch in g.symbol.items() if s]
+    for _ in range(3000):
+        line = "".join(rng.choice(symbols) for _ in range(12))
+        for (_, _, rule), need in zip(g.rules, g.needs):
+            assert not rule.search(line) or all(not n.isdisjoint(line) for n in need)
+
+
 def test_scores_of_whole_texts(spark):
     long = "Nothing to see in batch 12.\n" * 4000 + "You are a worthless idiot.\n"
     docs = [(1, long, "Chat-Thread", 1), (2, None, None, 1), (3, "", "chat thread", 1), (3, "", "chat thread", 1), (4, "word" * 20_000, "x", 1)]

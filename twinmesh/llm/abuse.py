@@ -22,8 +22,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache, lru_cache
+from re._parser import parse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -135,6 +136,26 @@ def classes_of(word: str) -> frozenset[str]:
     return frozenset()
 
 
+def needs(parsed: Iterable) -> list[frozenset[str]]:
+    """Sets of symbols of which every match of a parsed rule has at least one each."""
+    out = []
+    for op, arg in parsed:
+        match str(op):
+            case "LITERAL":
+                out.append(frozenset(chr(arg)))
+            case "IN" if all(str(kind) == "LITERAL" for kind, _ in arg):
+                out.append(frozenset(chr(c) for _, c in arg))
+            case "MAX_REPEAT" | "MIN_REPEAT" if arg[0]:
+                out += needs(arg[2])
+            case "SUBPATTERN":
+                out += needs(arg[-1])
+            case "BRANCH":
+                each = [needs(x) for x in arg[1]]
+                if all(each):
+                    out.append(frozenset().union(*(min(e, key=len) for e in each)))
+    return out
+
+
 class Grammar:
     """Rules compiled over the symbols known so far; grows when a new set of classes turns up."""
 
@@ -159,8 +180,7 @@ class Grammar:
 
         self.rules = [(category, weight, build(rule)) for category, weight, rule in RULES]
         self.negation = re.compile(f"{group('NEG')}.?$")
-        core = {c for name in (*DISGUISED, "BRAINS", "SMELL", "RUIN", "AVOID", "HURT", "KNOW", "BEWARE", "HOPE", "FAVOUR", "MISS", "PEOPLE", "OFGROUP", "BEFORE", "TOUCH", "UNDRESS", "DOINGIT", "GETLOST", "SHUTUP", "UPLOADED", "CANNOT", "=make", "=ashamed") for c in of.get(name, "")}
-        self.core = core
+        self.needs = [needs(parse(rule.pattern)) for _, _, rule in self.rules]
 
     def clause(self, text: str) -> dict[str, float]:
         """The score of each category in one folded clause."""
@@ -174,10 +194,11 @@ class Grammar:
                     self.symbol[c] = chr(0xE000 + len(self.symbol))
             self.compile()
             line = "".join([self.symbol[c] for c in found])
-        if self.core.isdisjoint(line):
-            return {}
+        present = set(line)
         out: dict[str, float] = {}
-        for category, weight, rule in self.rules:
+        for (category, weight, rule), need in zip(self.rules, self.needs):
+            if any(map(present.isdisjoint, need)):
+                continue
             best, at = out.get(category, 0), 0
             while weight > best and (m := rule.search(line, at)):
                 best = max(best, self.weigh(weight, line, found, words, text, m.start(), m.end()))
