@@ -136,6 +136,12 @@ def test_the_gate_loses_no_rule():
             assert not rule.search(line) or all(not n.isdisjoint(line) for n in need)
 
 
+def test_stretched_words_of_any_length():
+    for n in (5, 50, 5000):
+        assert max(A.scores(f"you are an idi{'o' * n}t")) >= A.FOUND_AT
+    assert max(A.scores("you are an " + "idiot" * 20)) < A.FOUND_AT
+
+
 def test_scores_of_whole_texts(spark):
     long = "Nothing to see in batch 12.\n" * 4000 + "You are a worthless idiot.\n"
     docs = [(1, long, "Chat-Thread", 1), (2, None, None, 1), (3, "", "chat thread", 1), (3, "", "chat thread", 1), (4, "word" * 20_000, "x", 1)]

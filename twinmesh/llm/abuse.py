@@ -107,7 +107,7 @@ def classes_of(word: str) -> frozenset[str]:
     exact, skeletons, swapped, by_length = lexicon()
     if (c := exact.get(word)) is not None:
         return c
-    if word.isdigit() or len(word) > 40:
+    if word.isdigit() or len(word) > 40 and len(re.sub(r"(.)\1+", r"\1", word)) > 40:  # a stretched word is as long as its letters
         return frozenset()
     if "*" in word:
         if sum(x.isalpha() for x in word) < 1 or len(word) < 3:
