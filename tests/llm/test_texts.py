@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
+from tests.llm import sentences
 from twinmesh.llm import abuse as A
 from twinmesh.llm import mixing as M
 from twinmesh.llm import packing as P
+from twinmesh.llm import transducers as T
 from twinmesh.llm.tokens import encoding, tokenizer_path
 from twinmesh.session import Scratch
 
@@ -115,25 +118,68 @@ def test_scores():
         assert max(A.scores(t)) < A.FOUND_AT, t
 
 
+def found(text):
+    return max(A.scores(text)) >= A.FOUND_AT
+
+
+@pytest.mark.parametrize("name", ["FIRST", "SECOND", "THIRD"])
+def test_sentences_in_four_languages(name):
+    bad, good = getattr(sentences, f"{name}_BAD"), getattr(sentences, f"{name}_GOOD")
+    assert sum(map(found, bad)) >= 0.95 * len(bad), [t for t in bad if not found(t)]
+    assert sum(map(found, good)) <= 0.02 * len(good), [t for t in good if found(t)]
+
+
 def test_every_match_is_weighed_in_its_own_context():
-    found = lambda t: max(A.scores(t)) >= A.FOUND_AT
     assert found("you removed my file, you fucking idiot")
     assert found("the policy was reviewed last week and then many other files were moved to the archive of the office, you are an idiot")
     assert found("the policy of the office says that files are kept for ten years and you are an idiot")
     assert found("the comment with the wording you are an idiot was sent back to the archive, and I say it again, you are an idiot")
     assert found("I am not saying you are an idiot and then again you are an idiot")
+    assert found("nobody called you an idiot but you are a moron")
     assert not found("the comment quoted: you are an idiot") and not found('the quoted wording, "you are an idiot", was sent back')
+    assert not found('"you are an idiot" was what he wrote') and found('"you are an idiot"')
+
+
+def test_automata():
+    a = T.Automaton()
+    a.add("X (Y | @P){1,2} _ Z?", {"P": "U V*"}, "c", 0.8)
+    a.close()
+    run = lambda text: T.Cascade(lambda s, c: (s, 0), (), a, frozenset("N")).run(range(len(text)), [frozenset(c) for c in text]).get("c", 0)
+    one = 0.8 * math.exp(-T.GAP_COST / 100)
+    assert run("XYW") == run("XUVVVYWZ") == run("XUUW") == run("QQXYWQ") == pytest.approx(one)
+    assert run("XYN") == run("XW") == run("YW") == 0.0
+    with pytest.raises(ValueError):
+        a.add("X (Y", {}, "c", 0.8)
+    with pytest.raises((ValueError, IndexError)):
+        a.add("X )", {}, "c", 0.8)
 
 
 def test_the_gate_loses_no_rule():
-    for t in ("I'll show you what my hands are for", "somebody here is a muppet, plain and simple"):
-        assert max(A.scores(t)) >= A.FOUND_AT, t
+    """Clauses without a word of the gate's classes match nothing, whatever else they hold."""
+    a = A.rules()
+    assert a.always(set(A.core_labels()))
     g, rng = A.Grammar(), random.Random(7)
-    symbols = [ch for s, ch in g.symbol.items() if s]
+    sets = sorted({c for c in A.lexicon().values() if c.isdisjoint(g.core)}, key=sorted)
     for _ in range(3000):
-        line = "".join(rng.choice(symbols) for _ in range(12))
-        for (_, _, rule), need in zip(g.rules, g.needs):
-            assert not rule.search(line) or all(not n.isdisjoint(line) for n in need)
+        line = [g.symbol_of(rng.choice(sets)) for _ in range(12)]
+        assert not g.cascade.run([g.bos, *line, g.eos], g.classes)
+
+
+def test_caches_are_bounded(monkeypatch):
+    g = A.Grammar()
+    monkeypatch.setattr(A.Grammar, "KEPT", 5)
+    monkeypatch.setattr(T, "CACHE", 20)
+    for _ in range(3):
+        for t in ("you are an idiot", "go to hell", "all is well here today", "die ganze nacht", "kill all muslims"):
+            assert (g.clause(t) == {}) == (t in ("all is well here today", "die ganze nacht"))
+
+
+def test_disguises():
+    for w in ("1d10t", "i*iot", "idiiiiot", "idoit", "imbecyle", "fukk", "fcuk", "m***n"):
+        assert A.classes_of(w) & {"INSULT", "FUCK", "SCREW"}, w
+    for w in ("essex", "count", "shirt", "blood", "pets", "folder", "2024", "class", "assess", "bitte", "sale", "scunthorpe"):
+        assert not A.classes_of(w) & {"INSULT", "FUCK", "PORN", "VERMIN", "SLUR", "TITS"}, w
+    assert A.classes_of("*") == A.classes_of("7") == frozenset()
 
 
 def test_stretched_words_of_any_length():
@@ -153,7 +199,7 @@ def test_scores_of_whole_texts(spark):
 
 
 def test_agreement_with_raters(spark):
-    """Held-out labels: documents on whose label most raters agree."""
+    """Documents on whose label all of several raters agree; no weight is fitted to labels."""
     root = "/root/testdata/sf0.1"
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{root}/documents.parquet").select("doc_id", "text").where("text is not null").collect()}
     votes = defaultdict(list)

@@ -1,231 +1,290 @@
-"""Scores of abusive, hateful and sexual wording by a weighted finite-state pattern grammar.
-
-Transducers, composed in this order over every clause of a text:
+"""Scores of abusive, hateful and sexual wording by composed weighted finite-state transducers.
 
 1. characters: compatibility forms, look-alike letters, zero-width and separator characters and
-   diacritics are folded, letters that are spelled out are joined (f.u.c.k);
-2. words: each word becomes the set of its classes (insult, target, threat, group, ...); words of some
-   classes are also found masked (f**k), in digits and signs, stretched, respelled, or with two letters
-   swapped;
-3. rules: insult, threat, target and group automata are composed into rules over class symbols,
-   each with a weight. Every distinct set of classes is one symbol, so a rule compiles into one
-   regular expression over a string with a symbol per word, and runs in time linear in the words;
-4. context: negation before a match, reported speech and technical use of the words lower the weight.
-   A reporting word reaches REPORT_REACH words on, and not beyond a comma or dash unless a quotation
-   follows it (a colon, or a quotation mark).
-
-A clause scores its best match of all, each weighed in its own context, not its single words; a text
-scores 1 - prod(1 - clause score).
+   diacritics are folded, letters that are spelled out are joined (f.u.c.k). A word that isn't in the lexicon
+   goes through a character transducer (masks, digits and signs for letters, stretched and doubled letters,
+   respellings, two inner letters swapped), composed with the lexicon's letter tree; the cheapest path within
+   a cost names the word it disguises;
+2. words: the lexical transducer gives each word the set of its classes (who, insult, threat, group, ...);
+3. context: negation and reported speech mark the words that they reach. A report is a third person's saying, or
+   a text's, and ends with its sub-clause unless a quotation goes on; a negation reaches a few words;
+4. rules: the insult, threat, target and group transducers of the lexicon are composed into rules with
+   open slots, whose paths have weights and costs.
+
+The context is composed with the rules on the fly (``transducers.Cascade``), so a clause costs one look-up per
+token, and every match of every rule is weighed, each in its own context. A clause scores its best
+match and a text its best clause, so that length alone flags nothing.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
-from functools import cache, lru_cache
-from re._parser import parse
+from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinmesh.llm.abuse_lexicon import CLASSES, DISGUISED, PARTS, RULES
+from twinmesh.llm import abuse_lexicon as L
+from twinmesh.llm.transducers import Automaton, Cascade
 from twinmesh.session import ship
 
 FOUND_AT = 0.5
 CATEGORIES = ("abusive", "hateful", "sexual")
-#: Words between a reporting word and a match that it still reports.
-REPORT_REACH = 8
 
 # fixed values: Cyrillic and Greek letters that look like Latin ones
 LOOKALIKE = str.maketrans("авекмнорстухіјѕһԁԛԝьɡαοερντιυκ", "abekmhopctyxijshdqwbgaoepvtiuk")
 # fixed values: characters of no width
 INVISIBLE = dict.fromkeys(map(ord, "​‌‍⁠﻿­᠎"))
-# fixed values: digits and signs that stand for letters
-SIGNS = str.maketrans("01345789@$!|€", "oieastbgasile")
-SPELLED = re.compile(r"(?<![^\W_])(?:[^\W_][ ._\-]){2,}[^\W_](?![^\W_])")
-WORD = re.compile(r"[^\W_][\w*@$!|€]*(?<![!|])|[*@$!|€]+[\w*@$!|€]+(?<![!|])|[,:—]|(?<= )-(?= )")
+# fixed values: digits and signs, and the letters that they stand for
+SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "€": "e", "v": "u", "u": "v"}
+LEET, LEET_L = str.maketrans("0134578@$!", "oieastbasi"), str.maketrans("0134578@$!", "oleastbasl")
+MASKS = "*#%"
+#: Costs of a disguised letter, and the greatest cost of a word.
+SIGN, MASK, AGAIN, RESPELLED, SWAPPED, DROPPED, MOST = 5, 6, 2, 12, 22, 12, 45
+
+SPELLED = re.compile(r"(?<![^\W_])(?:[^\W_][ ._\-]+){2,}[^\W_](?![^\W_])")
+NOT = re.compile(r"n['’]t\b")
+WORD = re.compile(r"[^\W_](?:[\w*@$!|€#%]*[\w*@$|€#%])?|[*@$|€]+[\w*@$!|€]+|[,:;—–()\"“”„«»‹›]|(?<= )-(?= )")
+CLAUSE = re.compile(r"[.?;\n\r]+(?=\s|$|[\"”«»)])|!+(?=\s|$|[\"”«»)])|\n+")
 QUOTES = '"“”„«»‹›'
-CLAUSE = re.compile(r"[.?;\n\r]+(?=\s|$)|!+(?=\s|$)|\n+")
 
 
 def fold(text: str) -> str:
     """Lower case, look-alikes and diacritics folded, spelled-out words joined."""
     t = text.lower() if text.isascii() else unicodedata.normalize("NFD", unicodedata.normalize("NFKC", text).translate(INVISIBLE).lower().translate(LOOKALIKE).replace("ß", "ss"))
     if not t.isascii():
-        t = "".join(c for c in t if not unicodedata.combining(c))
-    return SPELLED.sub(lambda m: re.sub(r"[ ._\-]", "", m[0]), t.replace("'", " ").replace("’", " "))
+        t = "".join([c for c in t if not unicodedata.combining(c)])
+    t = NOT.sub("nt", t).replace("'", " ").replace("’", " ")
+    return SPELLED.sub(lambda m: re.sub(r"[ ._\-]", "", m[0]), t)
+
 
+def inflected(text: str) -> Iterator[str]:
+    """The words of a class: stem(ending,ending) is the stem and the stem with each ending."""
+    for stem, endings in re.findall(r"([^\s()]+)(?:\(([^)]*)\))?", text):
+        yield fold(stem)
+        for e in filter(None, endings.split(",")):
+            yield fold(stem + e)
 
-def skeleton(word: str) -> str:
-    """What respelling keeps: repeated letters once, y as i, ck as k, v before a consonant as u."""
-    w = re.sub(r"(.)\1+", r"\1", word.replace("y", "i"))
-    w = re.sub(r"ck", "k", w)
-    return re.sub(r"v(?=[^aeiou]|$)", "u", w)
+
+@cache
+def rules() -> Automaton:
+    a = Automaton()
+    for category, weight, rule in L.RULES:
+        a.add(rule, L.PARTS, category, weight)
+    a.close()
+    return a
 
 
 @cache
-def lexicon() -> tuple[dict[str, frozenset[str]], dict[str, frozenset[str]], dict[str, frozenset[str]], dict[int, list[str]]]:
-    """Words, skeletons, one swap of neighbours, and disguised words by length, with their classes."""
+def lexicon() -> dict[str, frozenset[str]]:
+    """The classes of each word as it stands; a word that a rule names has a class of its own."""
     words: dict[str, set[str]] = {}
-    for name, text in CLASSES.items():
-        for w in text.split():
-            words.setdefault(fold(w) if len(w) > 1 else w, set()).add(name)
-    for w in literals():
-        words.setdefault(w, set()).add("=" + w)
-    exact = {w: frozenset(c) for w, c in words.items()}
-    skeletons: dict[str, frozenset[str]] = {}
-    swapped: dict[str, frozenset[str]] = {}
-    by_length: dict[int, list[str]] = {}
-    for w, classes in list(exact.items()):
-        if not classes.intersection(DISGUISED) or len(w) < 3:
-            continue
-        by_length.setdefault(len(w), []).append(w)
-        if "VERMIN" in classes:  # a mask can hide the blank after an article, too
-            for article in ("a", "una", "une", "eine", "de la", "des"):
-                by_length.setdefault(len(article) + 1 + len(w), []).append(f"{article} {w}")
-                exact.setdefault(f"{article} {w}", classes)
-        skeletons.setdefault(skeleton(w), classes)
-        skeletons.setdefault(skeleton(w.replace("rn", "m")), classes)
-        if len(w) >= 4:
-            for i in range(len(w) - 1):
-                swapped.setdefault(w[:i] + w[i + 1] + w[i] + w[i + 2 :], classes)
-    return exact, skeletons, swapped, by_length
+    for name, text in L.CLASSES.items():
+        for w in inflected(text):
+            words.setdefault(w, set()).add(name)
+    for w in rules().words():
+        words.setdefault(fold(w), set()).add("=" + w)
+    insults = [w for w, c in words.items() if "INSULT" in c or "SOFT" in c and len(w) > 3]
+    for w in insults:
+        for p in L.INSULT_PREFIXES:
+            words.setdefault(p + w, {"INSULT"})
+    for h in L.INSULT_HEADS:
+        for t in L.INSULT_TAILS:
+            words.setdefault(h + t, {"INSULT"})
+            words.setdefault(h + t + "s", {"INSULT"})
+    return {w: frozenset(c) for w, c in words.items()}
 
 
 @cache
-def literals() -> frozenset[str]:
-    """Words that rules name directly."""
-    text = " ".join(r for _, _, r in RULES) + " " + " ".join(PARTS.values())
-    return frozenset(re.findall(r"[a-z]+", re.sub(r"<\w+>|\{\w+\}", " ", text)))
+def letters() -> dict:
+    """The letter tree of the words that are looked for in disguise; the key "" holds the word."""
+    root: dict = {}
+    phrases = ("une {}", "de la {}", "des {}", "una {}", "eine {}", "a {}", "de {}", "a la {}")
+    for w, classes in lexicon().items():
+        if len(w) >= 3 and not classes.isdisjoint(L.DISGUISED) or len(w) >= 6 and "ADJ" in classes:
+            forms = [w]
+            if not classes.isdisjoint(("VERMIN", "NAKED")):  # a mask or a spelling-out can take the article in
+                forms += [p.format(w).replace(" ", s) for p in phrases for s in ("", " ")]
+            for f in forms:
+                at = root
+                for ch in f:
+                    at = at.setdefault(ch, {})
+                at.setdefault("", w)
+    return root
+
+
+def undisguised(word: str) -> set[str]:
+    """The words of the letter tree that the character transducer reaches from ``word`` at the least cost."""
+    word = re.sub(r"([^*#%])\1{3,}", r"\1\1\1", word)
+    n = len(word)
+    if n < 3 or n > 40 or not any(map(str.isalpha, word)):
+        return set()
+    vowelless = n >= 3 and word.isalpha() and not set(word) & set("aeiouy")
+    best, found = MOST, set()
+    todo: list[tuple[int, int, dict, str, int]] = [(0, 0, letters(), "", 0)]
+    while todo:
+        cost, i, node, last, loose = todo.pop()
+        if cost > best:
+            continue
+        if i == n:
+            if "" in node:
+                found = {node[""]} if cost < best else found | {node[""]}
+                best = cost
+            continue
+        ch = word[i]
+        if ch in node:
+            todo.append((cost, i + 1, node[ch], ch, loose))
+        for x in SIGNS.get(ch, ""):
+            if x in node:
+                todo.append((cost + SIGN, i + 1, node[x], x, loose))
+        if ch in MASKS:
+            todo += [(cost + MASK, i + 1, y, x, loose) for x, y in node.items() if x]
+        if i and ch == word[i - 1] and ch not in MASKS:
+            todo.append((cost + AGAIN, i + 1, node, last, loose))
+        if i and loose < 2:
+            two = word[i : i + 2]
+            if ch in "yi" and (x := "i" if ch == "y" else "y") in node:
+                todo.append((cost + RESPELLED, i + 1, node[x], x, loose + 1))
+            if ch in "ckq":
+                todo += [(cost + RESPELLED, i + 1, node[x], x, loose + 1) for x in "ck" if x != ch and x in node]
+            if ch == "z" and "s" in node:
+                todo.append((cost + RESPELLED, i + 1, node["s"], "s", loose + 1))
+            if ch == "k" and "c" in node and "k" in node["c"]:
+                todo.append((cost + RESPELLED, i + 1, node["c"]["k"], "k", loose + 1))
+            if two == "rn" and "m" in node:
+                todo.append((cost + RESPELLED, i + 2, node["m"], "m", loose + 1))
+            if i + 2 < n and n > 3 and not loose and two[0] != two[-1] and two[-1] in node and two[0] in node[two[-1]]:
+                todo.append((cost + SWAPPED, i + 2, node[two[-1]][two[0]], two[0], 2))
+        if i and vowelless:
+            todo += [(cost + DROPPED, i, node[x], x, loose) for x in "aeiou" if x in node]
+    return found
 
 
-@lru_cache(maxsize=200_000)
 def classes_of(word: str) -> frozenset[str]:
-    """The classes of a folded word, seen through disguises."""
-    exact, skeletons, swapped, by_length = lexicon()
-    if (c := exact.get(word)) is not None:
+    """The classes of a folded token, seen through disguises."""
+    if len(word) == 1 and not word.isalnum():
+        return frozenset(("EDGE", "QUOTE")) if word in QUOTES else frozenset(("EDGE", "COLON" if word == ":" else "PUNCT"))
+    known = lexicon()
+    if (c := known.get(word)) is not None:
         return c
-    if word.isdigit() or len(word) > 40 and len(re.sub(r"(.)\1+", r"\1", word)) > 40:  # a stretched word is as long as its letters
+    plain = word.rstrip(MASKS)
+    if plain != word and (c := known.get(plain)) is not None and not plain.isdigit():
+        return c
+    if word.isdigit():
         return frozenset()
-    if "*" in word:
-        if sum(x.isalpha() for x in word) < 1 or len(word) < 3:
-            return frozenset()
-        shape = re.compile("".join("." if x == "*" else re.escape(x) for x in word.translate(SIGNS)))
-        out: frozenset[str] = frozenset()
-        for w in by_length.get(len(word), ()):
-            if shape.fullmatch(w):
-                out |= exact[w]
-        return out
-    plain = word.translate(SIGNS)
-    if plain != word:
-        if sum(x.isalpha() for x in word) == 0:
-            return frozenset()
-        if (c := exact.get(plain)) is not None:
+    for straight in (word.translate(LEET), word.translate(LEET_L)):  # a digit or sign for a letter in any word
+        if straight != word and (c := known.get(straight)) is not None and any(map(str.isalpha, word)):
             return c
-        alt = word.replace("1", "l").translate(SIGNS)
-        if (c := exact.get(alt)) is not None:
-            return c
-    if (c := swapped.get(plain)) is not None:
-        return c
-    if len(plain) >= 4 and plain[0] == "a" and "INSULT" in (c := exact.get(plain[1:], frozenset())):  # an article joined to a spelled-out word
+    if word[0] == "a" and (c := known.get(word[1:])) is not None and "INSULT" in c and len(word) > 4:  # an article joined to a spelled-out word
         return c
-    if len(plain) >= 3 and (c := skeletons.get(skeleton(plain))) is not None and (skeleton(plain) != plain or plain not in exact):
+    if len(word) > 5 and (c := known.get(word[:-1])) is not None and "INSULT" in c:  # a word of one letter after it
         return c
-    return frozenset()
-
-
-def needs(parsed: Iterable) -> list[frozenset[str]]:
-    """Sets of symbols of which every match of a parsed rule has at least one each."""
-    out = []
-    for op, arg in parsed:
-        match str(op):
-            case "LITERAL":
-                out.append(frozenset(chr(arg)))
-            case "IN" if all(str(kind) == "LITERAL" for kind, _ in arg):
-                out.append(frozenset(chr(c) for _, c in arg))
-            case "MAX_REPEAT" | "MIN_REPEAT" if arg[0]:
-                out += needs(arg[2])
-            case "SUBPATTERN":
-                out += needs(arg[-1])
-            case "BRANCH":
-                each = [needs(x) for x in arg[1]]
-                if all(each):
-                    out.append(frozenset().union(*(min(e, key=len) for e in each)))
-    return out
+    return frozenset().union(*[known[w] for w in undisguised(word)])
+
+
+def context(state: tuple, classes: frozenset[str]) -> tuple[tuple, int]:
+    """The context transducer: from a state and a token's classes to the next state and the mark's cost.
+
+    A state has the words that a negation, a report, a report noun and a first-person subject still reach,
+    whether a quotation is open, and what the word before was (why, your)."""
+    neg, report, noun, first, quoted, before = state
+    if "BOS" in classes or "EOS" in classes:  # "late": what follows the last quotation says that it is one
+        return (0, 0, 0, 0, False, "late" if "LATE" in classes else ""), 0
+    cost = (L.CONTEXT_COST["negated"] if neg else 0) + (L.CONTEXT_COST["reported"] if report else 0)
+    if "QUOTE" in classes:
+        opens = not quoted and (report or noun or before == "late")
+        return (0, L.REPORT_REACH if opens else 0, 0, 0, bool(opens), ""), cost
+    if "COLON" in classes:
+        return (0, L.REPORT_REACH if report or noun else 0, 0, 0, quoted, ""), cost
+    if "PUNCT" in classes:  # a quotation may follow a comma
+        return (0, report if quoted else 0, 1 if report or noun else 0, 0, quoted, ""), cost
+    if "CONJ" in classes:
+        return (0, report if quoted else 0, 0, 0, quoted, ""), cost
+    neg, noun, first = max(0, neg - 1), max(0, noun - 1), max(0, first - 1)
+    report = report if quoted else max(0, report - 1)
+    if "NEG" in classes and before != "why" and classes.isdisjoint(("PERSON",)):
+        neg = L.NEG_REACH
+    elif "UNNEG" in classes:
+        neg = 0
+    if "I" in classes:
+        first = L.FIRST_REACH
+    if "SAY" in classes and not first:
+        report = L.REPORT_REACH
+    if "REPNOUN" in classes and before != "your":
+        noun = L.NOUN_REACH
+        report = max(report, 1)
+    return (neg, report, noun, first, quoted, "why" if "WHY" in classes else "your" if "YOUR" in classes else ""), cost
 
 
 class Grammar:
-    """Rules compiled over the symbols known so far; grows when a new set of classes turns up."""
+    """Symbols of words seen so far, and the composed transducers."""
+
+    KEPT = 500_000
 
     def __init__(self) -> None:
-        sets = sorted({*lexicon()[0].values(), frozenset()}, key=sorted)
-        self.symbol = {s: chr(0xE000 + i) for i, s in enumerate(sets)}
-        self.compile()
-
-    def compile(self) -> None:
-        of: dict[str, str] = {}
-        for s, ch in self.symbol.items():
-            for name in s:
-                of[name] = of.get(name, "") + ch
-        group = lambda name: f"[{of[name]}]" if name in of else "(?!)"
-
-        def build(rule: str) -> re.Pattern:
-            for name, part in PARTS.items():
-                rule = rule.replace("{" + name + "}", f"({part})")
-            rule = re.sub(r"\b[a-z]+\b", lambda m: f"<={m[0]}>", rule)
-            rule = re.sub(r"<([=\w]+)>", lambda m: group(m[1]), rule.replace("_", ".")).replace(" ", "")
-            return re.compile(rule.replace("(", "(?:").replace("(?:?!)", "(?!)"), re.DOTALL)
-
-        self.rules = [(category, weight, build(rule)) for category, weight, rule in RULES]
-        self.negation = re.compile(f"{group('NEG')}.?$")
-        self.needs = [needs(parse(rule.pattern)) for _, _, rule in self.rules]
+        self.classes: list[frozenset[str]] = []
+        self.number: dict[frozenset[str], int] = {}
+        # words of these classes alone are part of every rule's matches, or no rule's paths avoid them
+        self.cascade = Cascade(context, (0, 0, 0, 0, False, ""), rules(), frozenset(("EDGE", "NEG")))
+        self.symbols: dict[str, int] = {}
+        self.hot: set[int] = set()
+        self.tech: set[int] = set()
+        self.quote: set[int] = set()
+        self.report: set[int] = set()
+        self.core = core_labels()
+        self.bos, self.eos, self.late = (self.symbol_of(frozenset(c)) for c in (("EDGE", "BOS"), ("EDGE", "EOS"), ("EDGE", "BOS", "LATE")))
+
+    def symbol_of(self, classes: frozenset[str]) -> int:
+        n = self.number.get(classes)
+        if n is None:
+            n = self.number[classes] = len(self.classes)
+            self.classes.append(classes)
+            for of, names in ((self.hot, self.core), (self.tech, ("TECH",)), (self.quote, ("QUOTE",)), (self.report, ("SAY", "REPNOUN"))):
+                if not classes.isdisjoint(names):
+                    of.add(n)
+        return n
+
+    def symbol(self, word: str) -> int:
+        n = self.symbols.get(word)
+        if n is None:
+            if len(self.symbols) >= self.KEPT:
+                self.symbols.clear()
+            n = self.symbols[word] = self.symbol_of(classes_of(word))
+        return n
 
     def clause(self, text: str) -> dict[str, float]:
         """The score of each category in one folded clause."""
-        words = [(m[0], m.start()) for m in WORD.finditer(text)]
-        found = [classes_of(w) for w, _ in words]
+        known = self.symbols
+        words = WORD.findall(text)
         try:
-            line = "".join([self.symbol[c] for c in found])
+            line = [known[w] for w in words]
         except KeyError:
-            for c in found:
-                if c not in self.symbol:
-                    self.symbol[c] = chr(0xE000 + len(self.symbol))
-            self.compile()
-            line = "".join([self.symbol[c] for c in found])
-        present = set(line)
-        out: dict[str, float] = {}
-        for (category, weight, rule), need in zip(self.rules, self.needs):
-            if any(map(present.isdisjoint, need)):
-                continue
-            best, at = out.get(category, 0), 0
-            while weight > best and (m := rule.search(line, at)):
-                best = max(best, self.weigh(weight, line, found, words, text, m.start(), m.end()))
-                at = m.start() + 1
-            if best:
-                out[category] = best
+            line = [self.symbol(w) for w in words]
+        if self.hot.isdisjoint(line):
+            return {}
+        bos = self.bos
+        if not self.quote.isdisjoint(line):
+            after = line[len(line) - line[::-1].index(next(x for x in reversed(line) if x in self.quote)) :]
+            bos = self.late if not self.report.isdisjoint(after) else bos
+        out = self.cascade.run([bos, *line, self.eos], self.classes)
+        if out and not self.tech.isdisjoint(line):
+            out = {k: w if w >= L.TECH_SURE else w * L.TECH_FACTOR for k, w in out.items()}
         return out
 
-    def weigh(self, weight: float, line: str, found: list[frozenset[str]], words: list[tuple[str, int]], text: str, start: int, end: int) -> float:
-        """The weight of one match in its context."""
-        if self.negation.search(line[max(0, start - 2) : start]):
-            weight *= 0.4
-        if self.reported(found, words, text, start):
-            weight *= 0.4
-        if weight < 0.9 and any("TECH" in c for c in found[max(0, start - 3) : end + 3]):
-            weight *= 0.6
-        return weight
-
-    def reported(self, found: list[frozenset[str]], words: list[tuple[str, int]], text: str, start: int) -> bool:
-        """Whether a reporting word before the match has it in its scope."""
-        for i in range(start - 1, max(-1, start - 2 - REPORT_REACH), -1):
-            if "REPORT" in found[i]:
-                between = [w for w, _ in words[i + 1 : start]]
-                gap = text[words[i][1] : words[start][1]]
-                if ":" in between or any(x in gap for x in QUOTES) or not any(w in ",-—" for w in between):
-                    return True
-        return False
+
+@cache
+def core_labels() -> frozenset[str]:
+    """Labels of which every match has one: rules are only run over clauses that have any. The most common
+    classes are left out as long as no rule can do without all the others."""
+    a = rules()
+    labels = {label for arcs in a.arcs for label, *_ in arcs} - {"_", "."}
+    for name in ("EDGE", "DET", "BE", "AND", "CONJ", "ADV", "I", "THEY", "THEIR", "MY", "YOU", "YOUR", "WHO", "NEG", "MODAL", "WILL", "HAS", "WITH", "ARE", "YOUARE", "IT", "KNOW", "WHERE", "LIVE", "BEFORE", "BETTER", "CAME", "OUT", "UPON", "TAKE", "POSE", "SHOWS", "MEDIA", "FOLK", "BODY", "PERSON", "KIN", "LOOK", "LIKE", "MORE", "THAN", "GO", "GET", "HOT", "FACE", "IF", "WHY", "PIECE", "ADJMILD", "HAVES", "COUNTRY", "WHAT", "SENDME", "WANTIT", "WATCH", "BEWARE", "HOPE", "EQUAL", *sorted(x for x in labels if x[0] == "=")):
+        if name in labels and a.always(labels - {name}):
+            labels.discard(name)
+    return frozenset(labels)
 
 
 @cache
@@ -235,14 +294,15 @@ def grammar() -> Grammar:
 
 def scores(text: str | None) -> tuple[float, float, float]:
     """abusive, hateful and sexual score of a text; an empty or null text scores 0."""
-    rest = [1.0, 1.0, 1.0]
+    best = dict.fromkeys(CATEGORIES, 0.0)
     if text:
         g = grammar()
         for clause in CLAUSE.split(fold(text)):
-            if clause and (out := g.clause(clause)):
-                for i, c in enumerate(CATEGORIES):
-                    rest[i] *= 1 - out.get(c, 0)
-    return tuple(round(1 - r, 6) for r in rest)
+            if clause:
+                for k, w in g.clause(clause).items():
+                    if w > best[k]:
+                        best[k] = w
+    return tuple(round(best[k], 6) for k in CATEGORIES)
 
 
 def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
