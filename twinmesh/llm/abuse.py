@@ -142,7 +142,7 @@ def undisguised(word: str) -> set[str]:
                 todo.append((cost + SIGN, i + 1, node[x], x, loose))
         if ch in MASKS:
             todo += [(cost + MASK, i + 1, y, x, loose) for x, y in node.items() if x]
-        if i and ch == word[i - 1] and ch not in MASKS:
+        if i and ch == word[i - 1] and ch not in MASKS and (n > 5 or ch * 3 in word):  # bitte is a word of its own
             todo.append((cost + AGAIN, i + 1, node, last, loose))
         if i and loose < 2:
             two = word[i : i + 2]

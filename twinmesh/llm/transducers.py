@@ -96,11 +96,12 @@ class Automaton:
         if t[at] != "(":
             return at + 1
         depth = 0
-        while True:
+        while at < len(t):
             depth += (t[at] == "(") - (t[at] == ")")
             at += 1
             if not depth:
                 return at
+        raise ValueError("a bracket isn't closed")
 
     def _atom(self, t: list[str], at: int, a: int, parts: dict[str, str]) -> int:
         if t[at] == "(":
