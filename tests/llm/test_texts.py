@@ -179,7 +179,7 @@ def test_disguises():
         assert A.classes_of(w) & {"INSULT", "FUCK", "SCREW"}, w
     for w in ("essex", "count", "shirt", "blood", "pets", "folder", "2024", "class", "assess", "bitte", "sale", "scunthorpe"):
         assert not A.classes_of(w) & {"INSULT", "FUCK", "PORN", "VERMIN", "SLUR", "TITS"}, w
-    assert A.classes_of("*") == A.classes_of("7") == frozenset()
+    assert A.classes_of("7") == frozenset()
 
 
 def test_stretched_words_of_any_length():
