@@ -46,6 +46,9 @@ MASKS = "*#%"
 SIGN, MASK, AGAIN, RESPELLED, SWAPPED, DROPPED, MOST = 5, 6, 2, 12, 22, 12, 45
 
 SPELLED = re.compile(r"(?<![^\W_])(?:[^\W_][ ._\-]+){2,}[^\W_](?![^\W_])")
+SINGLE = re.compile(r"[ ._\-][^\W_][ ._\-]")
+HIDDEN, ALIKE = re.compile("[" + "".join(map(chr, INVISIBLE)) + "]+"), re.compile("[" + "".join(map(chr, LOOKALIKE)) + "]")
+ACCENTS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
 NOT = re.compile(r"n['’]t\b")
 WORD = re.compile(r"[^\W_](?:[\w*@$!|€#%]*[\w*@$|€#%])?|[*@$|€]+[\w*@$!|€]+|[,:;—–()\"“”„«»‹›]|(?<= )-(?= )")
 CLAUSE = re.compile(r"[.?;\n\r]+(?=\s|$|[\"”«»)])|!+(?=\s|$|[\"”«»)])|\n+")
@@ -54,11 +57,15 @@ QUOTES = '"“”„«»‹›'
 
 def fold(text: str) -> str:
     """Lower case, look-alikes and diacritics folded, spelled-out words joined."""
-    t = text.lower() if text.isascii() else unicodedata.normalize("NFD", unicodedata.normalize("NFKC", text).translate(INVISIBLE).lower().translate(LOOKALIKE).replace("ß", "ss"))
-    if not t.isascii():
-        t = "".join([c for c in t if not unicodedata.combining(c)])
+    if text.isascii():
+        t = text.lower()
+    else:
+        t = HIDDEN.sub("", unicodedata.normalize("NFKC", text)).lower()
+        if ALIKE.search(t):
+            t = t.translate(LOOKALIKE)
+        t = ACCENTS.sub("", unicodedata.normalize("NFD", t.replace("ß", "ss")))
     t = NOT.sub("nt", t).replace("'", " ").replace("’", " ")
-    return SPELLED.sub(lambda m: re.sub(r"[ ._\-]", "", m[0]), t)
+    return SPELLED.sub(lambda m: re.sub(r"[ ._\-]", "", m[0]), t) if SINGLE.search(t) else t
 
 
 def inflected(text: str) -> Iterator[str]:
