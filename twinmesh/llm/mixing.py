@@ -137,7 +137,8 @@ class Mix:
         self.targets = targets.select(plain.alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(1)).alias("max_repeats")).where("source is not null")
         wanted = {r.source: r for r in self.targets.collect()}  # a fixed table: one row per source
         texts = documents.select(plain.alias("source"), F.col("doc_id").cast("bigint"), "text").where(F.col("source").isin(list(wanted)))
-        counted = with_tokens(texts, "source string, doc_id bigint", tokenizer).where("n_tokens > 0")
+        # written, since the range partitioning reads it twice and texts are only to be tokenized once
+        counted = scratch.store(with_tokens(texts, "source string, doc_id bigint", tokenizer).where("n_tokens > 0"), "counted")
         order = ["source", "h", "doc_id"]
         ranged = counted.withColumn("h", F.xxhash64(F.lit(SEED), "doc_id")).repartitionByRange(*order).sortWithinPartitions(*order)
         laid = scratch.store(ranged.select("source", "doc_id", "n_tokens").mapInArrow(_offsets, "source string, doc_id bigint, n_tokens int, part int, before bigint"), "laid")
