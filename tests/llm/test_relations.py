@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import uuid
+
+import pytest
 
 from tests import oracle
 from twinmesh.llm import groups as G
@@ -79,17 +82,17 @@ def test_history_in_batches_equals_one_batch(spark, monkeypatch):
     cuts = [day + dt.timedelta(days=x) for x in (10, 20, 30)]
     from pyspark.sql import functions as F
 
-    def found(width):
+    def found(width, name):
         monkeypatch.setattr(H, "WIDE_KEY", width)
-        index = H.HistoryIndex(spark, Scratch(spark, "t"), exact=1, near=3, d_max=12)
+        monkeypatch.setattr(H, "FOLDER_ROWS", 100)
         c = F.coalesce("created_at", F.lit(day))
-        index.append(members.where(c < cuts[0]))
-        out = set()
-        for lo, hi in zip(cuts, [*cuts[1:], day + dt.timedelta(days=99)]):
-            batch = members.where((c >= lo) & (c < hi))
-            index.append(batch)
-            out |= {(r.algorithm_id, *sorted((r.asset_id, r.o_asset))) for r in index.pairs(batch).collect()}
-        return out
+        ends = [*cuts, day + dt.timedelta(days=99)]
+        for i, (lo, hi) in enumerate(zip([day - dt.timedelta(days=9), *ends], ends)):
+            index = H.HistoryIndex(spark, name, exact=1, near=3, d_max=12)  # opened again for every batch
+            index.accept(i, members.where((c >= lo) & (c < hi)), match=i > 0)
+            index.accept(i, members, match=i > 0)  # a batch that is there already stays as it is
+        pairs = index.pairs(since=1).collect()
+        return {(r.algorithm_id, *sorted((r.asset_id, r.o_asset))) for r in pairs}
 
     usable = {(r[0], r[1], r[2], int(r[3], 16), r[4]) for r in rows if r[0] and r[2] and r[3] and len(r[3]) == 64}
     want = set()
@@ -97,8 +100,38 @@ def test_history_in_batches_equals_one_batch(spark, monkeypatch):
         for y in usable:
             if x[2] < y[2] and x[:2] == y[:2] and (x[3] ^ y[3]).bit_count() <= (12 if x[1] == 3 else 0) and max(x[4] or day, y[4] or day) >= cuts[0]:
                 want.add((x[1], x[2], y[2]))
-    assert found(1_000) == want and want
-    assert found(1) == want
+    assert found(1_000, uuid.uuid4().hex) == want and want
+    assert found(1, uuid.uuid4().hex) == want
+
+
+def test_a_probe_reads_its_own_folders_only(spark, monkeypatch):
+    monkeypatch.setattr(H, "FOLDER_ROWS", 128)
+    rng = random.Random(3)
+    rows = lambda n, tag: [(3, "p", f"{tag}{i}", None, 5, *[rng.getrandbits(64) - 2**63 for _ in range(4)]) for i in range(n)]
+    index = H.HistoryIndex(spark, uuid.uuid4().hex, exact=1, near=3, d_max=12)
+    first = rows(400, "a")
+    index.accept(0, spark.createDataFrame(first, H.MEMBER), match=False)
+    index.accept(1, spark.createDataFrame(rows(3200, "b"), H.MEMBER), match=False)
+    batch = spark.createDataFrame([(*first[7][:2], "c", None, 5, first[7][5] ^ 0b111, *first[7][6:])], H.MEMBER)
+    read = index.hits(index.band_keys(batch.select(*H.SIGNATURE)), index.segments)[1]
+    # one signature has 13 keys: 13 folders at most, while the folders follow the history
+    assert read[0][0] <= 13 and read[1][0] <= 13 and read[0][1] == 64 and read[1][1] == 512
+    index.accept(2, batch)
+    assert {(r.asset_id, r.o_asset) for r in index.pairs(since=2).collect()} == {("c", "a7")}
+
+
+def test_a_batch_that_was_cut_off_is_accepted_again(spark, monkeypatch):
+    name = uuid.uuid4().hex
+    index = H.HistoryIndex(spark, name, exact=1, near=3, d_max=12)
+    members = spark.createDataFrame([(1, "p", x, None, 5, 1, 2, 3, 4) for x in "ab"], H.MEMBER)
+    monkeypatch.setattr(index, "_publish", lambda m: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        index.accept(0, members)
+    again = H.HistoryIndex(spark, name, exact=1, near=3, d_max=12)
+    assert not again.segments
+    again.accept(0, members)
+    assert {(r.asset_id, r.o_asset) for r in again.pairs(since=0).collect()} == {("a", "b"), ("b", "a")}
+    assert again.pairs(since=1).count() == 0
 
 
 def test_found_queries_against_sql(spark):

@@ -7,29 +7,50 @@ key is the hash of (project, recipe, band, bits). With d_max + 1 bands, two hash
 d_max or less agree in one band at least (pigeonhole), so probing equal keys loses nothing. An exact
 recipe has one band, the whole hash.
 
-The index is a table of (band key, signature words), one row per distinct hash and band, written in
-files partitioned by a bucket of the band key; probes read the buckets that their keys fall in.
+The index is a folder under a name: one segment per accepted batch, with its members, its band keys
+(key, signature words; one row per distinct hash and band) in folders by a prefix of the key, and the pairs
+of signatures that it matched when it came. A segment has as many key folders as its rows need, and a probe reads,
+of every segment, only the folders that its keys fall in: a batch costs its own keys times the size of a
+folder, and not the history. Rows whose key a probe has go on; where the probes' keys are few enough to be
+broadcast (PROBES), nothing of the history is shuffled. A segment counts once its manifest is there, which is
+written last, so a batch that was cut off is accepted again.
+
 Copies of a hash are one signature, so a hash that a third of all rows share is probed once. A band
 key that very many signatures share is refined: within it the other bits are cut into d_max + 1
-sub-bands of which, again, one must agree; so no pair is lost and no bucket is compared all with all.
+sub-bands of which, again, one must agree; and what such a sub-band still shares is dealt into slices that each
+probe visits. So no pair is lost, no bucket is compared all with all, and no task gets an unbounded key.
 """
 
 from __future__ import annotations
 
+import hashlib
+import inspect
+import json
 import random
+import sys
+import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinmesh.session import Scratch
+from twinmesh.session import Scratch, shared_folder, ship
 
-#: Folders of the written index; at a hundred terabytes, some thousands.
-BUCKETS = 32
-#: Band keys of more signatures than this are refined by sub-bands.
+#: Rows of a key folder, and folders of a segment at most (their rows grow beyond: 65,536 of some
+#: millions of rows at a hundred terabytes).
+FOLDER_ROWS, MOST_FOLDERS = 65_536, 65_536
+#: Probe keys that are broadcast at most (8 bytes each); beyond, both sides are shuffled by key.
+PROBES = 2_000_000
+#: Band keys of more signatures than this are refined by sub-bands; a sub-band's slices and the slices of a
+#: class of members have about as many rows.
 WIDE_KEY = 1_000
 WORDS = ["w0", "w1", "w2", "w3"]
 BITS = 256
 SIGNATURE = ["algorithm_id", "project", *WORDS]
+OTHER = [f"o_{w}" for w in WORDS]
+MEMBER = "algorithm_id int, project_id string, asset_id string, created_at timestamp, project bigint, w0 bigint, w1 bigint, w2 bigint, w3 bigint"
+KEY = "key bigint, band int, algorithm_id int, project bigint, w0 bigint, w1 bigint, w2 bigint, w3 bigint"
+FOUND = "algorithm_id int, project bigint, w0 bigint, w1 bigint, w2 bigint, w3 bigint, o_w0 bigint, o_w1 bigint, o_w2 bigint, o_w3 bigint"
 
 
 def hash_words(hash_: Column) -> list[Column]:
@@ -58,38 +79,120 @@ def _band(number: int, positions: list[int]) -> Column:
     return F.struct(F.lit(number).alias("band"), F.xxhash64("algorithm_id", "project", F.lit(number), *bits).alias("key"))
 
 
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
 class HistoryIndex:
-    """Band keys and members of everything accepted so far, as written tables.
+    """Members, band keys and matches of everything accepted so far, under ``name`` in the shared folder.
 
-    ``exact`` and ``near`` are algorithm ids; two hashes of a near one match within d_max bits."""
+    ``exact`` and ``near`` are algorithm ids; two hashes of a near one match within d_max bits. An index that is
+    opened again under its name goes on with the batches that it has."""
 
-    def __init__(self, spark: SparkSession, scratch: Scratch, exact: int, near: int, d_max: int, seed: int = 7) -> None:
-        self.spark, self.scratch, self.exact, self.near, self.d_max = spark, scratch, exact, near, d_max
+    def __init__(self, spark: SparkSession, name: str, exact: int, near: int, d_max: int, seed: int = 7) -> None:
+        ship(spark)
+        self.spark, self.exact, self.near, self.d_max = spark, exact, near, d_max
+        self.root = f"{shared_folder(spark)}/history-{name}"
+        self.scratch = Scratch(spark, "history")
         self.cuts = _cuts(seed, d_max + 1)
         self.subcuts = [_cuts(seed + 1 + i, d_max + 1, [p for p in range(BITS) if p not in set(cut)]) for i, cut in enumerate(self.cuts)]
-        self.keys: list[DataFrame] = []
-        self.members: list[DataFrame] = []
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.segments = self._load()
+
+    # --- segments
+
+    def _load(self) -> dict[int, dict]:
+        folder = self._path(f"{self.root}/manifests")
+        out = {}
+        for f in self._fs.listStatus(folder) if self._fs.exists(folder) else []:
+            if f.getPath().getName().endswith(".json"):
+                stream = self._fs.open(f.getPath())
+                try:
+                    m = json.loads(bytes(stream.readAllBytes()).decode())
+                finally:
+                    stream.close()
+                out[m["batch"]] = m
+        return dict(sorted(out.items()))
+
+    def _publish(self, manifest: dict) -> None:
+        """Manifests are written once: of two writers of a batch the first one counts."""
+        final, new = (self._path(f"{self.root}/manifests/{n}") for n in (f"{manifest['batch']:09d}.json", f".{uuid.uuid4().hex}"))
+        self._fs.mkdirs(final.getParent())
+        stream = self._fs.create(new)
+        try:
+            stream.write(bytearray(json.dumps(manifest).encode()))
+        finally:
+            stream.close()
+        if self._fs.exists(final) or not self._fs.rename(new, final):
+            self._fs.delete(new, False)
+        self.segments = self._load()
+
+    def _read(self, path: str, schema: str, folders: list[int] | None = None) -> DataFrame:
+        reader = self.spark.read.schema(schema)
+        if folders is None:
+            return reader.parquet(path)
+        return reader.option("basePath", path).parquet(*[f"{path}/folder={f}" for f in folders])
+
+    def members(self) -> DataFrame:
+        """All members (rows repeat where a batch repeats them)."""
+        return _union([self._read(f"{m['path']}/members", MEMBER) for m in self.segments.values()])
+
+    def found(self, since: int = 0) -> DataFrame:
+        """Pairs of signatures (algorithm_id, project, w0..w3, o_w0..o_w3): those of each batch from ``since``
+        on with those that were there when it came, itself included."""
+        parts = [self._read(f"{m['path']}/found", FOUND) for b, m in self.segments.items() if b >= since and m["matched"]]
+        return _union(parts).distinct() if parts else self.spark.createDataFrame([], FOUND)
+
+    def accept(self, batch: int, members: DataFrame, match: bool = True) -> None:
+        """Accepts a batch of members (algorithm_id, project_id, asset_id, created_at, project, w0..w3): finds the
+        signatures of the batch and of earlier ones that are equal or near to each of its signatures (unless
+        ``match`` is off, for a first load), and adds it to the index. A batch that is there already is left as
+        it is. Of earlier batches only the key folders that this one's keys fall in are read."""
+        if batch in self.segments:
+            return
+        path = f"{self.root}/{batch:09d}-{uuid.uuid4().hex}"
+        members.select(*[f.split()[0] for f in MEMBER.split(", ")]).write.parquet(f"{path}/members")
+        members = self._read(f"{path}/members", MEMBER)
+        n = members.count() * (self.d_max + 1)
+        bits = 0
+        while n > FOLDER_ROWS << bits and 1 << bits < MOST_FOLDERS:
+            bits += 1
+        keys = self.band_keys(members.select(*SIGNATURE).distinct()).withColumn("folder", self._folder(bits))
+        keys.repartition("folder").sortWithinPartitions("folder", "key").write.partitionBy("folder").parquet(f"{path}/keys")
+        manifest = {"batch": batch, "path": path, "bits": bits, "matched": match}
+        if match:
+            probes = self._read(f"{path}/keys", KEY)
+            self.matches(probes, {**self.segments, batch: manifest}).write.parquet(f"{path}/found")
+        self._publish(manifest)
+
+    def _folder(self, bits: int) -> Column:
+        """The folder of a key: the first bits of its unsigned value."""
+        return F.shiftrightunsigned("key", 64 - bits).cast("int") if bits else F.lit(0)
 
     def band_keys(self, signatures: DataFrame) -> DataFrame:
-        """One row per signature and band: (key, band, signature columns, bucket)."""
+        """One row per signature and band: (key, band, signature columns)."""
         near = signatures.where(F.col("algorithm_id") == self.near).withColumn("b", F.explode(F.array(*[_band(i, c) for i, c in enumerate(self.cuts)])))
         exact = signatures.where(F.col("algorithm_id") == self.exact).withColumn("b", F.struct(F.lit(-1).alias("band"), F.xxhash64(*SIGNATURE).alias("key")))
-        return near.unionByName(exact).select("b.key", "b.band", *SIGNATURE, F.pmod("b.key", F.lit(BUCKETS)).cast("int").alias("bucket"))
-
-    def append(self, members: DataFrame) -> None:
-        """Accepts members (algorithm_id, project_id, asset_id, created_at, project, w0..w3): adds
-        their rows and the keys of their signatures. Older tables aren't read; a signature that
-        comes again has its keys once per batch, which ``matches`` makes one again."""
-        members = self.scratch.store(members, "members")
-        keys = self.band_keys(members.select(*SIGNATURE).distinct())
-        self.keys.append(self.scratch.store(keys.repartition("bucket"), "keys", ["bucket"]))
-        self.members.append(members)
-
-    def _all(self, tables: list[DataFrame]) -> DataFrame:
-        out = tables[0]
-        for t in tables[1:]:
-            out = out.unionByName(t)
-        return out
+        return near.unionByName(exact).select("b.key", "b.band", *SIGNATURE)
+
+    # --- probes
+
+    def hits(self, probes: DataFrame, segments: dict[int, dict]) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
+        """The stored key rows whose key a probe has, and per segment the folders read and those there are."""
+        keys, most = probes.select("key"), max((m["bits"] for m in segments.values()), default=0)
+        at = {r.f: r["count"] for r in keys.select(self._folder(most).alias("f")).groupBy("f").count().collect()}  # at most MOST_FOLDERS numbers
+        few = sum(at.values()) <= PROBES
+        parts, read = [], {}
+        for b, m in segments.items():
+            there = {int(f.getPath().getName().split("=")[1]) for f in self._fs.listStatus(self._path(f"{m['path']}/keys")) if "=" in f.getPath().getName()}
+            wanted = sorted(there & {f >> (most - m["bits"]) for f in at})
+            read[b] = (len(wanted), len(there))
+            if wanted:
+                parts.append(self._read(f"{m['path']}/keys", KEY, wanted).select(*[f.split()[0] for f in KEY.split(", ")]))
+        stored = _union(parts) if parts else self.spark.createDataFrame([], KEY)
+        return stored.join(F.broadcast(keys) if few else keys.distinct(), "key", "left_semi"), read
 
     def _near(self) -> Column:
         d = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"o_{w}"))) for w in WORDS[1:]), F.bit_count(F.col("w0").bitwiseXOR(F.col("o_w0"))))
@@ -103,39 +206,60 @@ class HistoryIndex:
             parts = F.when(F.col("band") == i, keys).otherwise(parts)
         return rows.withColumn("key", F.explode(parts))
 
-    def matches(self, batch: DataFrame) -> DataFrame:
-        """Pairs of signatures (algorithm_id, project, w0..w3, o_w0..o_w3) of which the first is in
-        the batch (members already appended) and the second anywhere in the index, equal or near;
-        a signature matches itself."""
-        probes = self.scratch.store(self.band_keys(batch.select(*SIGNATURE).distinct()), "probes")
-        hit = [r.bucket for r in probes.select("bucket").distinct().collect()]  # at most BUCKETS numbers
-        at = ["bucket", "key"]
-        # the history is read once, and only rows whose key a probe has go on
-        stored = self._all(self.keys).where(F.col("bucket").isin(hit)).join(probes.select(*at).distinct(), at, "left_semi")
-        stored = self.scratch.store(stored.drop("bucket"), "hits")
-        probes = probes.drop("bucket")
-        wide = self.scratch.store(stored.where("band >= 0").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WIDE_KEY).select("key"), "wide")
-        other = lambda x: x.select("key", F.col("algorithm_id").alias("o_alg"), F.col("project").alias("o_project"), *[F.col(w).alias(f"o_{w}") for w in WORDS])
+    def matches(self, probes: DataFrame, segments: dict[int, dict]) -> DataFrame:
+        """Pairs of signatures of which the first is one of those whose band keys are the probes and the second anywhere
+        in the segments, equal or near; a signature matches itself."""
+        stored = self.scratch.store(self.hits(probes, segments)[0], "hits")
+        count = lambda x: x.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WIDE_KEY)
+        wide = count(stored.where("band >= 0")).select("key")
+        other = lambda x, *also: x.select("key", *also, F.col("algorithm_id").alias("o_alg"), F.col("project").alias("o_project"), *[F.col(w).alias(f"o_{w}") for w in WORDS])
         if wide.isEmpty():
             pairs = probes.join(other(stored), "key")
         else:
+            wide = self.scratch.store(wide, "wide")
             pairs = probes.join(wide, "key", "left_anti").join(other(stored.join(wide, "key", "left_anti")), "key")
-            fine = self._refine(probes.join(wide, "key", "left_semi")).join(other(self._refine(stored.join(wide, "key", "left_semi"))), "key")
-            pairs = pairs.unionByName(fine)
+            fine = self.scratch.store(self._refine(stored.join(wide, "key", "left_semi")), "fine")
+            slices = count(fine).select("key", F.ceil(F.col("n") / WIDE_KEY).cast("int").alias("slices"))
+            sliced = lambda x: x.join(slices, "key", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+            mine = sliced(self._refine(probes.join(wide, "key", "left_semi"))).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+            theirs = other(sliced(fine).withColumn("slice", F.pmod(F.xxhash64(*WORDS), F.col("slices")).cast("int")), "slice")
+            pairs = pairs.unionByName(mine.join(theirs, ["key", "slice"]).select(pairs.columns))
         same = (F.col("algorithm_id") == F.col("o_alg")) & (F.col("project") == F.col("o_project"))
-        return pairs.where(same & self._near()).select(*SIGNATURE, *[f"o_{w}" for w in WORDS]).distinct()
+        return pairs.where(same & self._near()).select(*SIGNATURE, *OTHER).distinct()
 
-    def pairs(self, batch: DataFrame) -> DataFrame:
+    def pairs(self, since: int) -> DataFrame:
         """Pairs of members (algorithm_id, project_id, asset_id, created_at, o_asset, o_created) of
-        the same project, the first of the batch, the second of the index; each pair of assets is
-        there once for each of its hashes that match."""
-        found = self.matches(batch)
-        mine = batch.select("algorithm_id", "project_id", "asset_id", "created_at", "project", *WORDS)
-        theirs = self._all(self.members).select("algorithm_id", "project", F.col("project_id").alias("o_project_id"), F.col("asset_id").alias("o_asset"), F.col("created_at").alias("o_created"), *[F.col(w).alias(f"o_{w}") for w in WORDS])
-        both = mine.join(found, SIGNATURE).join(theirs, ["algorithm_id", "project", *[f"o_{w}" for w in WORDS]])
+        the same project, the first of a batch from ``since`` on, the second of any; each pair of assets is
+        there once for each of its hashes that match. A signature of very many members is dealt into slices."""
+        own = _union([self._read(f"{m['path']}/members", MEMBER) for b, m in self.segments.items() if b >= since] or [self.spark.createDataFrame([], MEMBER)])
+        theirs = self.members().select("algorithm_id", "project", F.col("project_id").alias("o_project_id"), F.col("asset_id").alias("o_asset"), F.col("created_at").alias("o_created"), *[F.col(w).alias(f"o_{w}") for w in WORDS])
+        at = ["algorithm_id", "project", *OTHER]
+        slices = theirs.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WIDE_KEY).select(*at, F.ceil(F.col("n") / WIDE_KEY).cast("int").alias("slices"))
+        mine = own.join(self.found(since), SIGNATURE)
+        if slices.isEmpty():
+            both = mine.join(theirs, at)
+        else:
+            slices = self.scratch.store(slices, "slices")
+            sliced = lambda x: x.join(slices, at, "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+            mine = sliced(mine).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+            both = mine.join(sliced(theirs).withColumn("slice", F.pmod(F.xxhash64("o_asset"), F.col("slices")).cast("int")).drop("slices"), [*at, "slice"])
         return both.where("project_id = o_project_id and asset_id <> o_asset").select("algorithm_id", "project_id", "asset_id", "created_at", "o_asset", "o_created")
 
 
+def fingerprint(spark: SparkSession, paths: list[str], *also: object) -> str:
+    """A name for what this module derives from the files below the paths: changes when one of them, or the
+    module, does."""
+    conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    facts = [repr(also), inspect.getsource(sys.modules[__name__])]
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        files = path.getFileSystem(conf).listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            facts.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(facts)).encode()).hexdigest()[:32]
+
+
 def members_of(hashes: DataFrame, exact: int, near: int) -> DataFrame:
     """Distinct (algorithm_id, project_id, asset_id, created_at, project, w0..w3) of the usable hashes
     of both recipes. created_at is the asset's latest in that recipe over all its rows, usable or

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from twinmesh.llm.abuse import FOUND_AT, score_documents, source_rates
 from twinmesh.llm.groups import groups
-from twinmesh.llm.history import HistoryIndex, members_of, unrecorded
+from twinmesh.llm.history import HistoryIndex, fingerprint, members_of, unrecorded
 from twinmesh.llm.mixing import Mix
 from twinmesh.llm.packing import CAPACITY, pack
 from twinmesh.llm.similar import COSINE, HAMMING, as_pairs, closest, hash_items, vector_items
@@ -51,16 +51,19 @@ SELECT algorithm_id, x AS asset_id, min(y) AS group_id FROM reach GROUP BY algor
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
-    """Unrecorded pairs of equal or nearly equal assets of which one came in batch 1 or later."""
-    scratch = Scratch(spark, "p4")
-    opened = table(spark, root, "ingest_batch").where("batch_id = 1").agg(F.min("opened_at").alias("opened_at")).first()[0]
-    members = scratch.store(members_of(table(spark, root, "asset_hash"), exact=1, near=3), "all")
-    new = F.coalesce(F.col("created_at") >= F.lit(opened), F.lit(False))
-    index = HistoryIndex(spark, scratch, exact=1, near=3, d_max=NEAR_BITS)
-    index.append(members.where(~new))
-    batch = members.where(new)
-    index.append(batch)
-    return unrecorded(index.pairs(batch), table(spark, root, "asset_hash_duplicate").where(F.col("algorithm_id").isin(1, 3)))
+    """Unrecorded pairs of equal or nearly equal assets of which one came in batch 1 or later.
+
+    The batches are accepted one after the other into an index that is named after the input's files, so a later
+    run over the same files only reads what each batch matched. Assets created after the last batch belong to it."""
+    hashes, batches = f"{root}/asset_hash.parquet", f"{root}/ingest_batch.parquet"
+    opened = [r[0] for r in table(spark, root, "ingest_batch").where("batch_id > 0").select("opened_at").orderBy("batch_id").collect()]  # a fixed table of seven rows
+    index = HistoryIndex(spark, fingerprint(spark, [hashes, batches], NEAR_BITS), exact=1, near=3, d_max=NEAR_BITS)
+    if len(index.segments) <= len(opened):
+        number = sum((F.coalesce(F.col("created_at") >= F.lit(t), F.lit(False)).cast("int") for t in opened), F.lit(0))
+        members = Scratch(spark, "p4").store(members_of(table(spark, root, "asset_hash"), exact=1, near=3).withColumn("batch", number), "all", ["batch"])
+        for b in range(len(opened) + 1):
+            index.accept(b, members.where(F.col("batch") == b), match=b > 0)
+    return unrecorded(index.pairs(since=1), table(spark, root, "asset_hash_duplicate").where(F.col("algorithm_id").isin(1, 3)))
 
 
 P4_SQL = f"""
