@@ -112,3 +112,34 @@ def test_lists_cover_every_point(n):
     row, at = S.nearest_lists(S.COSINE, p, c)
     assert set(row.tolist()) == set(range(50)) and at.max() < len(c)
     assert (at[np.unique(row, return_index=True)[1]] == (p @ c.T).argmax(1)).all()
+
+
+def test_blocks_and_parts_of_a_list_meet_once(spark, monkeypatch):
+    # lists of several blocks, whose queries are cut into parts: the same pairs as in one task
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((40, 64))
+    v = np.concatenate([base + 0.1 * rng.standard_normal(base.shape) for _ in range(8)])
+    df = spark.createDataFrame([(f"a{i:04}", "image.embed64", [list(map(float, x))]) for i, x in enumerate(v)], "asset_id string, recipe string, vectors array<array<float>>")
+    whole = pairs_of(S.closest(spark, S.vector_items(df), S.COSINE, 5, Scratch(spark, "t")))
+    monkeypatch.setattr(S, "BLOCK", 16)
+    monkeypatch.setattr(S, "PARTS", 2)
+    cut = S.closest(spark, S.vector_items(df), S.COSINE, 5, Scratch(spark, "t"))
+    assert pairs_of(cut) == whole and len(whole) > 500
+    assert cut.groupBy("asset_id", "other_asset_id").count().where("count > 1").count() == 0
+
+
+def test_copies_of_a_heavy_item(spark, monkeypatch):
+    monkeypatch.setattr(S, "HEAVY", 4)
+    rows = [(f"a{i:03}", 3, f"{7:064x}") for i in range(40)] + [(f"b{i:03}", 3, f"{1 << 200 | i:064x}") for i in range(3)] + [(f"c{i:03}", 3, f"{3 << 90:064x}") for i in range(9)]
+    df = spark.createDataFrame(rows, "asset_id string, algorithm_id int, hash string")
+    bits = np.array([[int(b) for b in f"{int(h, 16):0256b}"] for _, _, h in rows])
+    want = brute([a for a, _, _ in rows], (bits[:, None, :] != bits[None, :, :]).sum(2), 38, 5)
+    assert pairs_of(S.closest(spark, S.hash_items(df), S.HAMMING, 5, Scratch(spark, "t"))) == want
+
+
+def test_probes_grow_with_the_lists():
+    rng = np.random.default_rng(0)
+    for n, m in ((500, 12), (2_000, 12), (6_485, 16), (20_000, 21)):
+        c = S.points(S.HAMMING, rng.integers(0, 256, (n, 32), np.uint8))
+        row, _ = S.nearest_lists(S.HAMMING, S.points(S.HAMMING, rng.integers(0, 256, (5, 32), np.uint8)), c)
+        assert np.bincount(row).max() <= m and np.bincount(row).mean() > 0.8 * m

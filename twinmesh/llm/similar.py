@@ -6,9 +6,12 @@ rotation that keeps Hamming distance. After it, any block of columns is a fair s
 
 1. Copies are collapsed: one item row keeps its first k + 1 assets, which is all that can be
    among the k closest of anything (ties go to the smaller id); further copies are linked to the first k.
-2. Lists: centroids are fitted on a bounded sample (SAMPLE rows); their number follows the
-   square root of the items. Each item is stored in, and probes, its few nearest lists.
-   A list of more than BLOCK expected items is cut into blocks that each query visits.
+2. Lists: centroids are fitted on a bounded sample (SAMPLE rows, drawn from all items by a hash); their
+   number follows the square root of the items, up to a list per sampled hash and one per four sampled
+   vectors. Each item is stored in, and probes, its few nearest lists, which for hashes grow in
+   number with the lists, since two near hashes share a list of many less often.
+   A list of more than BLOCK expected items is cut into blocks, and its queries into parts, and each block
+   meets each part in a task of its own.
 3. In a list, items lie in column blocks. Distances grow block by block for all candidates of a
    chunk of queries; a hypothesis test on the partial distance abandons pairs that can't reach the
    threshold or the query's current last place, and the rest is computed for survivors only. Places
@@ -35,14 +38,19 @@ from twinmesh.session import Scratch, ship
 #: The sample the centroids are fitted on has at most this many rows, whatever the table's size.
 SAMPLE = 65_536
 BLOCK = 8_192
+#: Blocks of a list for each part of its queries: a task has about BLOCK stored items and PARTS * BLOCK queries.
+PARTS = 4
 QUERIES = 256
 SEED = 20_260
+#: Items of more than one in HEAVY of all (asset, item) pairs are joined by broadcast.
+HEAVY = 1_000
 
 
 @dataclass(frozen=True)
 class Metric:
     """Everything that differs between the two kinds of items. limit is the greatest distance that
-    counts; margin the largest distance to the border of another list that is still probed."""
+    counts; margin the largest distance to the border of another list that is still probed; growth the power of
+    the lists by which the probes grow beyond 2,000 lists; per_list the sampled rows of a list at least."""
 
     name: str
     bytes: int
@@ -50,14 +58,16 @@ class Metric:
     lists_per_root: float
     probes: int
     margin: float
+    growth: float
+    per_list: int
 
     @property
     def cosine(self) -> bool:
         return self.name == "cosine"
 
 
-COSINE = Metric("cosine", 256, 0.2 + 1e-7, 1.0, 8, 0.08)
-HAMMING = Metric("hamming", 32, 38.0, 5.8, 12, 2.0)
+COSINE = Metric("cosine", 256, 0.2 + 1e-7, 1.0, 8, 0.08, 0.0, 4)
+HAMMING = Metric("hamming", 32, 38.0, 5.8, 12, 2.0, 0.23, 1)
 
 
 def rotation(dim: int = 64) -> np.ndarray:
@@ -135,9 +145,9 @@ def fit(metric: Metric, sample: np.ndarray, k: int) -> np.ndarray:
 
 def nearest_lists(metric: Metric, p: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, list) of the lists that each point is stored in and probes: of the nearest
-    ``probes`` lists those whose border with the nearest one is within the margin."""
+    ``probes`` lists (more, where there are many lists) those whose border with the nearest one is within the margin."""
     s = p @ c.T
-    m = min(metric.probes, c.shape[0])
+    m = min(int(np.ceil(metric.probes * max(1.0, len(c) / 2_000) ** metric.growth)), c.shape[0])
     top = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < c.shape[0] else np.broadcast_to(np.arange(m), (len(p), m))
     st = np.take_along_axis(s, top, 1)
     order = np.argsort(-st, axis=1, kind="stable")
@@ -156,14 +166,22 @@ def _assign(metric: Metric, centroids, blocks):
             for i in range(0, len(vid), 1024):
                 v, x = vid[i : i + 1024], items[i : i + 1024]
                 row, at = nearest_lists(metric, points(metric, x), c)
-                n = per[at]
-                own = (v[row] * 2654435761 >> 7) % n  # the block that stores the item
-                rep = np.repeat(np.arange(len(row)), n)  # every block of the list is visited
-                block = np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
+                n = per[at]  # blocks of the list, and parts of its queries
+                parts = -(-n // PARTS)
+                own, part = (v[row] * 2654435761 >> 7) % n, (v[row] * 2246822519 >> 9) % parts
+                rep = np.repeat(np.arange(len(row)), n)  # as a query, an item visits every block of the list
+                other = np.repeat(np.arange(len(row)), parts)  # as a stored item, it meets every part of the queries
+                block = np.r_[_places(n), own[other]]
+                meets = np.r_[part[rep], _places(parts)]
+                asks = np.arange(len(block)) < len(rep)
+                rep = np.r_[rep, other]
                 stored = own[rep] == block
+                keep = asks | (meets != part[rep])  # where it is both, it is one row
+                rep, block, meets, asks, stored = rep[keep], block[keep], meets[keep], asks[keep], stored[keep]
                 assets = b.column(2).take(pa.array(i + row[rep], mask=~stored))  # null where the item only probes
+                task = (block * parts[rep] + meets).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(at[rep].astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(stored), pa.array(v[row[rep]]), _binary(x[row[rep]]), assets], names=["list", "block", "stored", "vid", "item", "assets"]
+                    [pa.array(at[rep].astype(np.int32)), pa.array(task), pa.array(stored), pa.array(v[row[rep]]), _binary(x[row[rep]]), assets, pa.array(asks)], names=["list", "block", "stored", "vid", "item", "assets", "asks"]
                 )
 
     return assign
@@ -259,10 +277,12 @@ def _scan(metric: Metric, k: int):
 
         def run() -> Iterator[pa.RecordBatch]:
             stored, vid, items = (np.concatenate(x) for x in list(zip(*held))[:3])
-            if stored.sum() and len(vid) > 1:
+            asks = np.concatenate([x[4] for x in held])
+            if stored.sum() and asks.sum() and len(vid) > 1:
                 blocks, ids = ColumnBlocks(metric, items[stored]), vid[stored]
                 lists = pa.concat_arrays([x[3] for x in held]).filter(pa.array(stored))
                 starts, assets = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())], lists.flatten().to_numpy()
+                vid, items = vid[asks], items[asks]
                 for i in range(0, len(vid), QUERIES):
                     row, entry, d = blocks.search(items[i : i + QUERIES], vid[i : i + QUERIES], ids, k, starts, assets)
                     if len(row):
@@ -272,6 +292,7 @@ def _scan(metric: Metric, k: int):
             if not b.num_rows:
                 continue
             at = b.column(0).to_numpy().astype(np.int64) << 32 | b.column(1).to_numpy()
+            asks = b.column(6).to_numpy(zero_copy_only=False)
             cols = (b.column(2).to_numpy(zero_copy_only=False), b.column(3).to_numpy(), _matrix(b.column(4), np.float32 if metric.cosine else np.uint8))
             cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
             for i, j in zip(cuts, cuts[1:]):
@@ -279,7 +300,7 @@ def _scan(metric: Metric, k: int):
                     yield from run()
                     held = []
                 key = at[i]
-                held.append((*(c[i:j].copy() for c in cols), b.column(5).slice(i, j - i)))
+                held.append((*(c[i:j].copy() for c in cols), b.column(5).slice(i, j - i), asks[i:j].copy()))
         if held:
             yield from run()
 
@@ -305,15 +326,16 @@ def closest(spark: SparkSession, items: DataFrame, metric: Metric, k: int, scrat
     facts = reps.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("assets") > k).alias("full")).first()
     if not facts.n:
         return names.select("asset_id", F.col("asset_id").alias("other_asset_id"), F.lit(1).alias("rank_no")).where("false")
-    lists = max(1, min(int(metric.lists_per_root * facts.n**0.5), SAMPLE // 8))
+    lists = max(1, min(int(metric.lists_per_root * facts.n**0.5), SAMPLE // metric.per_list))
     rows = min(SAMPLE, max(64 * lists, 4096) if metric.cosine else 8 * lists)
-    sample = reps.select("item").sample(fraction=min(1.0, 1.1 * rows / facts.n), seed=SEED).limit(rows).toArrow().column(0).combine_chunks()
-    sample = _matrix(sample if len(sample) else reps.select("item").limit(1).toArrow().column(0).combine_chunks(), np.float32 if metric.cosine else np.uint8)
+    # the rows of the least hashes: every item has the same chance, wherever it lies
+    sample = reps.select("item").orderBy(F.xxhash64(F.lit(SEED), "item")).limit(rows).toArrow().column(0).combine_chunks()
+    sample = _matrix(sample, np.float32 if metric.cosine else np.uint8)
     c = fit(metric, sample, lists)
     seen = np.bincount(np.concatenate([nearest_lists(metric, points(metric, sample[i : i + 2048]), c)[1] for i in range(0, len(sample), 2048)]), minlength=len(c))
     blocks = np.maximum(1, np.ceil(seen * (facts.n / len(sample)) / BLOCK)).astype(np.int64)
     sc = spark.sparkContext
-    spread = reps.select("vid", "item", "assets").mapInArrow(_assign(metric, sc.broadcast(c), sc.broadcast(blocks)), "list int, block int, stored boolean, vid bigint, item binary, assets array<bigint>")
+    spread = reps.select("vid", "item", "assets").mapInArrow(_assign(metric, sc.broadcast(c), sc.broadcast(blocks)), "list int, block int, stored boolean, vid bigint, item binary, assets array<bigint>, asks boolean")
     spread = spread.repartition("list", "block").sortWithinPartitions("list", "block")
     found = spread.mapInArrow(_scan(metric, k + 1), "vid bigint, other_asset bigint, distance double")  # one may be the query's own asset
     found = found.groupBy("vid", "other_asset").agg(F.min("distance").alias("distance"))
@@ -322,7 +344,12 @@ def closest(spark: SparkSession, items: DataFrame, metric: Metric, k: int, scrat
     both = both.unionByName(copies)
     if facts.full:  # copies beyond the first k + 1 assets of their item
         full = reps.where(F.size("assets") > k).select("item", "assets")
-        more = pairs.join(full, "item").where(~F.array_contains("assets", F.col("asset")))
+        # items with a thousandth of all pairs are a thousand at most: their copies aren't brought together
+        total = pairs.count()
+        heavy = scratch.store(pairs.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(k + 1, total // HEAVY)).select("item"), "heavy")
+        few, many = full.join(F.broadcast(heavy), "item", "left_semi"), full.join(F.broadcast(heavy), "item", "left_anti")
+        more = pairs.join(F.broadcast(few), "item").unionByName(pairs.join(F.broadcast(heavy), "item", "left_anti").join(many, "item"))
+        more = more.where(~F.array_contains("assets", F.col("asset")))
         both = both.unionByName(more.select("asset", F.explode("assets").alias("other_asset"), F.lit(0.0).alias("distance")))
     both = both.where("asset <> other_asset").groupBy("asset", "other_asset").agg(F.min("distance").alias("distance"))
     best = Window.partitionBy("asset").orderBy("distance", "other_asset")
