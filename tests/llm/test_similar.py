@@ -128,8 +128,7 @@ def test_blocks_and_parts_of_a_list_meet_once(spark, monkeypatch):
     assert cut.groupBy("asset_id", "other_asset_id").count().where("count > 1").count() == 0
 
 
-def test_copies_of_a_heavy_item(spark, monkeypatch):
-    monkeypatch.setattr(S, "HEAVY", 4)
+def test_copies_of_a_heavy_item(spark):
     rows = [(f"a{i:03}", 3, f"{7:064x}") for i in range(40)] + [(f"b{i:03}", 3, f"{1 << 200 | i:064x}") for i in range(3)] + [(f"c{i:03}", 3, f"{3 << 90:064x}") for i in range(9)]
     df = spark.createDataFrame(rows, "asset_id string, algorithm_id int, hash string")
     bits = np.array([[int(b) for b in f"{int(h, 16):0256b}"] for _, _, h in rows])

@@ -42,8 +42,8 @@ BLOCK = 8_192
 PARTS = 4
 QUERIES = 256
 SEED = 20_260
-#: Items of more than one in HEAVY of all (asset, item) pairs are joined by broadcast.
-HEAVY = 1_000
+#: Slices of the copies of an item.
+SLICES = 32
 
 
 @dataclass(frozen=True)
@@ -328,9 +328,10 @@ def closest(spark: SparkSession, items: DataFrame, metric: Metric, k: int, scrat
         return names.select("asset_id", F.col("asset_id").alias("other_asset_id"), F.lit(1).alias("rank_no")).where("false")
     lists = max(1, min(int(metric.lists_per_root * facts.n**0.5), SAMPLE // metric.per_list))
     rows = min(SAMPLE, max(64 * lists, 4096) if metric.cosine else 8 * lists)
-    # the rows of the least hashes: every item has the same chance, wherever it lies
-    sample = reps.select("item").orderBy(F.xxhash64(F.lit(SEED), "item")).limit(rows).toArrow().column(0).combine_chunks()
-    sample = _matrix(sample, np.float32 if metric.cosine else np.uint8)
+    # items by their hash: each has the same chance, wherever it lies, and their number is close to rows
+    share = int(min(1.0, rows / facts.n) * 2**31)
+    sample = reps.select("item").where(F.pmod(F.xxhash64(F.lit(SEED), "item"), F.lit(2**31)) < F.lit(share)).toArrow().column(0).combine_chunks()
+    sample = _matrix(sample if len(sample) else reps.select("item").limit(1).toArrow().column(0).combine_chunks(), np.float32 if metric.cosine else np.uint8)
     c = fit(metric, sample, lists)
     seen = np.bincount(np.concatenate([nearest_lists(metric, points(metric, sample[i : i + 2048]), c)[1] for i in range(0, len(sample), 2048)]), minlength=len(c))
     blocks = np.maximum(1, np.ceil(seen * (facts.n / len(sample)) / BLOCK)).astype(np.int64)
@@ -344,12 +345,9 @@ def closest(spark: SparkSession, items: DataFrame, metric: Metric, k: int, scrat
     both = both.unionByName(copies)
     if facts.full:  # copies beyond the first k + 1 assets of their item
         full = reps.where(F.size("assets") > k).select("item", "assets")
-        # items with a thousandth of all pairs are a thousand at most: their copies aren't brought together
-        total = pairs.count()
-        heavy = scratch.store(pairs.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(k + 1, total // HEAVY)).select("item"), "heavy")
-        few, many = full.join(F.broadcast(heavy), "item", "left_semi"), full.join(F.broadcast(heavy), "item", "left_anti")
-        more = pairs.join(F.broadcast(few), "item").unionByName(pairs.join(F.broadcast(heavy), "item", "left_anti").join(many, "item"))
-        more = more.where(~F.array_contains("assets", F.col("asset")))
+        # the copies of an item that many assets have are dealt into slices
+        full = full.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+        more = pairs.withColumn("slice", F.pmod("asset", F.lit(SLICES)).cast("int")).join(full, ["item", "slice"]).where(~F.array_contains("assets", F.col("asset")))
         both = both.unionByName(more.select("asset", F.explode("assets").alias("other_asset"), F.lit(0.0).alias("distance")))
     both = both.where("asset <> other_asset").groupBy("asset", "other_asset").agg(F.min("distance").alias("distance"))
     best = Window.partitionBy("asset").orderBy("distance", "other_asset")
