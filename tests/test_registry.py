@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 
-from twinmesh.errors import AlgorithmContract, AlreadyExists, Forbidden, Invalid, NotFound, Unauthorized
+from twinmesh.errors import AlgorithmContract, AlreadyExists, Conflict, Forbidden, Invalid, NotFound, Unauthorized
 from twinmesh.plans.registry import Catalogue, Registry
 from twinmesh.plans.state import EdgeState
+from twinmesh.schema import EDGES
 from twinmesh.sources import files
 
 NOW = dt.datetime(2026, 1, 31, tzinfo=dt.timezone.utc)
@@ -126,3 +128,66 @@ def test_streaming_ingest(spark, registry, tmp_path):
     q = ingest_stream(registry, "p", spark.readStream.schema(ANSWERS).parquet(str(tmp_path / "in")), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert registry.matches("p", "binary.sha256", id_="s")[1].total_count == 1
+
+
+def test_a_registry_is_opened_again(spark, registry, tmp_path):
+    rows = [("a", "/x/a.txt", "text.simhash64", [Z]), ("b", None, "text.simhash64", [D1]), ("a", "/x/a.txt", "binary.sha256", ["11"]), ("b", None, "binary.sha256", ["11"])]
+    registry.ingest("p", spark.createDataFrame(rows, ANSWERS), NOW)
+    client, key = registry.catalogue.create_client("p", "reader", ["read"], NOW)
+    registry.save()
+    again = Registry(spark, str(tmp_path))
+    assert again.catalogue == registry.catalogue and again.catalogue.authenticate(key, "read").slug == "demo"
+    assert again.assets.count() == 2 and again.hashes.count() == 4
+    assert again.matches("p", "text.simhash64", id_="a")[1].total_count == 1
+    assert [r.hash for r in again.hash_rows("p", "text.simhash64", id_="a").collect()] == [Z]
+    assert again.healthy() == {"spark": True, "storage": True}
+    again.catalogue.create_project("other", "Other", ["binary.sha256"], project_id="q")
+    again.ingest("q", spark.createDataFrame([("a", None, "binary.sha256", ["11"])], ANSWERS), NOW)
+    with pytest.raises(Conflict):  # the first one goes on from an older version
+        registry.save()
+    again.delete_project("p")
+    assert [p.slug for p in again.catalogue.list_projects()] == ["other"] and again.state.algorithms("p") == []
+    assert {r.project_id for r in again.assets.collect()} == {"q"} == {r.project_id for r in again.hashes.collect()}
+    again.delete_project("p")
+
+
+def test_an_exact_class_is_stored_as_one(spark, registry):
+    n = 10_000
+    answers = spark.range(n).selectExpr("concat('a', id) as identity_id", "cast(null as string) as identity_path", "'binary.sha256' as recipe", "array(if(id < 9990, 'same', concat('h', id))) as hashes")
+    registry.ingest("p", answers, NOW)
+    assert registry.state.edges("p", 1).count() == 2 * 9_989
+    assert registry.matches("p", "binary.sha256", id_="a5")[1].total_count == 9_989
+    ranked, info = registry.ranking("p", "binary.sha256", match_limit="2", page_size="3")
+    assert info.total_count == 9_990 and [(r.duplicate_count, len(r.matches)) for r in ranked.collect()] == [(9_989, 2)] * 3
+    clusters, info, _ = registry.clusters("p", "binary.sha256")
+    assert info.total_count == 1
+
+
+def test_recomputed_assets_equal_a_rebuild(spark, registry):
+    rng = random.Random(2)
+    value = lambda: f"{rng.choice([0, 2**20, 2**63]) ^ sum(1 << rng.randrange(64) for _ in range(3)):016x}"
+    rows = [(f"a{i}", None, "text.simhash64", [value() for _ in range(1 + i % 2)]) for i in range(30)]
+    registry.ingest("p", spark.createDataFrame(rows, ANSWERS), NOW)
+    registry.ingest("p", spark.createDataFrame([(f"a{i}", None, "text.simhash64", [value()]) for i in (3, 4, 77)], ANSWERS), NOW)
+    found = lambda: {(r.asset_id, r.other_asset_id, r.distance, r.similarity) for r in registry.state.edges("p", 2).collect()}
+    one = found()
+    assert registry.recompute_project("p", "text.simhash64") == {"text.simhash64": 3}
+    assert found() == one and one
+
+
+def test_a_crash_leaves_the_version_before(spark, tmp_path, monkeypatch):
+    state = EdgeState(spark, str(tmp_path))
+    rows = lambda *pairs: spark.createDataFrame([("p", 3, a, b, 1, 98.4, None) for a, b in pairs], EDGES)
+    state.replace("p", 3, rows(("a", "b"), ("b", "a")))
+    held = state.edges("p", 3)
+    monkeypatch.setattr(state.store, "publish", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        state.replace("p", 3, rows())
+    assert EdgeState(spark, str(tmp_path)).generation("p", 3) == 1
+    monkeypatch.undo()
+    state.replace("p", 3, rows(("c", "d"), ("d", "c")))
+    assert held.count() == 2 and {r.asset_id for r in state.edges("p", 3).collect()} == {"c", "d"}  # readers keep what they hold
+    n, m = state.store.newest("edges/p/3")
+    state.store.publish("edges/p/3", n, m)
+    with pytest.raises(Conflict):
+        state.store.publish("edges/p/3", n, m)

@@ -33,6 +33,16 @@ class AlreadyExists(RegistryError):
     status = 409
 
 
+class Conflict(RegistryError):
+    """Another writer published a version first; the change can be tried again."""
+
+    status = 409
+
+
+class ConfigError(RegistryError):
+    """The configuration is missing or breaks a rule."""
+
+
 class AssetProcessing(RegistryError):
     """A file can't be hashed."""
 

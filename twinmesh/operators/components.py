@@ -4,10 +4,16 @@ Vertices are named by 64-bit hashes, checked to be unique, so rounds move longs
 ids (a long chain in id order, say) makes a round useless. In a round each vertex chooses the least
 name next to it, choices are followed for four steps, and links are contracted to the chosen
 names. The graph shrinks by a constant factor a round in expectation, whatever its diameter.
+Vertices with a hundredth of all links, 200 at most, are relabelled by broadcast, so a hub is no hot key.
+What is left once few links are left is labelled by one task, in place of many small rounds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,19 +37,51 @@ def name_vertices(links: DataFrame, scope: list[str], scratch: Scratch) -> tuple
     return vertices, two.select("u", "v")
 
 
-def contract(links: DataFrame, scratch: Scratch) -> DataFrame | None:
+#: Links that one task labels at most (16 bytes each), and the share of all links that makes a hub.
+LAST_LINKS, HUB_SHARE = 200_000, 0.01
+
+
+def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labels of a small graph: the least vertex of each component, by hooking and pointer jumping."""
+    held = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches if b.num_rows]
+    if held:
+        names, at = np.unique(np.concatenate(held, 1), return_inverse=True)
+        u, v = at.reshape(2, -1)
+        label = np.arange(len(names))
+        while (label[u] != label[v]).any():
+            a, b = label[u], label[v]
+            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+            while (label != label[label]).any():
+                label = label[label]
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[label])], names=["name", "label"])
+
+
+def contract(links: DataFrame, scratch: Scratch, last: int = 0) -> DataFrame | None:
     """(name, label) for every vertex of the links (u, v): equal labels within a component and
-    different ones otherwise. None if there are no links."""
+    different ones otherwise. None if there are no links. Once ``last`` links are left, one task labels them."""
     rounds = []
     links = scratch.store(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "links")
-    while not links.isEmpty():
+    while n := links.count():
+        if n <= last:
+            rounds.append(scratch.store(links.coalesce(1).mapInArrow(_local, "name bigint, label bigint"), "choice"))
+            break
         both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        choice = scratch.store(both.groupBy(F.col("u").alias("name")).agg(F.least(F.min("v"), F.col("u")).alias("label")), "choice")
+        chosen = scratch.store(both.groupBy(F.col("u").alias("name")).agg(F.least(F.min("v"), F.col("u")).alias("label"), F.count(F.lit(1)).alias("degree")), "choice")
+        choice, hubs = chosen.select("name", "label"), chosen.where(F.col("degree") >= n * HUB_SHARE).select("name")
         hop = lambda x: x.join(x.select(F.col("name").alias("label"), F.col("label").alias("next")), "label").select("name", F.col("next").alias("label"))
         rounds.append(scratch.store(hop(hop(choice)), "choice"))
-        scratch.drop(choice)
-        at = lambda c, to: rounds[-1].select(F.col("name").alias(c), F.col("label").alias(to))
-        new = links.join(at("u", "a"), "u").join(at("v", "b"), "v").where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+        few = scratch.store(rounds[-1].join(F.broadcast(hubs), "name", "left_semi"), "hubs")  # 2 / HUB_SHARE at most
+        scratch.drop(chosen)
+
+        def relabel(x: DataFrame, c: str, to: str) -> DataFrame:
+            """A hub takes its label from the broadcast rows, and its links are spread over all partitions."""
+            other = "v" if c == "u" else "u"
+            x = x.join(F.broadcast(few.select(F.col("name").alias(c), F.col("label").alias("_hub"))), c, "left")  # noqa: B023
+            x = x.withColumn("_key", F.when(F.col("_hub").isNull(), F.col(c)).otherwise(F.xxhash64(c, other)))
+            found = rounds[-1].select(F.col("name").alias("_key"), F.col("label").alias("_label"))
+            return x.join(found, "_key", "left").withColumn(to, F.coalesce("_hub", "_label")).drop("_key", "_hub", "_label")
+
+        new = relabel(relabel(links, "u", "a"), "v", "b").where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
         old, links = links, scratch.store(new, "links")
         scratch.drop(old)
     final = None
@@ -69,7 +107,7 @@ def components(links: DataFrame, scope: list[str], scratch: Scratch) -> DataFram
     rows are ignored; an empty table gives no rows."""
     links = scratch.store(clean_links(links, scope), "clean")
     vertices, named = name_vertices(links, scope, scratch)
-    labels = contract(named, scratch)
+    labels = contract(named, scratch, LAST_LINKS)
     if labels is None:
         return vertices.select(*scope, "asset_id", F.col("asset_id").alias("cluster_id"))
     labelled = scratch.store(vertices.select(*scope, "asset_id", "name").join(labels, "name").select(*scope, "asset_id", "label"), "labelled")

@@ -71,6 +71,27 @@ def match_classes(hashes: DataFrame, queries: DataFrame) -> DataFrame:
     return have.join(of, CLASS).select(*CLASS, "class_id", "members", "queries", "asset_id", "wanted")
 
 
+def match_counts(hashes: DataFrame) -> DataFrame:
+    """(project, algorithm, asset, duplicate_count): how many other assets share a hash with each asset, once each.
+
+    Assets with the same set of classes are one kind, with a count, so copies by the million are one row. A kind
+    has all members of its largest class, which are counted and not looked at, and those of its other classes
+    that aren't in the largest: only these are brought together, kind by kind. So a class that most assets share
+    makes no pairs; kinds that share several large classes do."""
+    m = memberships(hashes).select(*SCOPE, "asset_id", F.xxhash64("hash").alias("c"))
+    sets = m.groupBy(*SCOPE, "asset_id").agg(F.sort_array(F.collect_set("c")).alias("set")).withColumn("kind", F.xxhash64("set"))  # an asset's own hashes
+    kinds = sets.groupBy(*SCOPE, "kind").agg(F.first("set").alias("set"), F.count(F.lit(1)).alias("n"))
+    of = kinds.select(*SCOPE, "kind", "n", F.explode("set").alias("c"))
+    sized = of.join(of.groupBy(*SCOPE, "c").agg(F.sum("n").alias("size")), [*SCOPE, "c"])
+    largest = sized.groupBy(*SCOPE, "kind").agg(F.max(F.struct("size", "c")).alias("top")).select(*SCOPE, "kind", "top.*").withColumnRenamed("c", "top")
+    rest = of.select(*SCOPE, "kind", "c").join(largest, [*SCOPE, "kind"]).where("c <> top").select(*SCOPE, "kind", "c", "top")
+    other = kinds.select(*SCOPE, F.col("kind").alias("other"), "n", "set", F.explode("set").alias("c"))
+    outside = rest.join(other, [*SCOPE, "c"]).where(~F.array_contains("set", F.col("top"))).select(*SCOPE, "kind", "other", "n").distinct()
+    more = outside.groupBy(*SCOPE, "kind").agg(F.sum("n").alias("more"))
+    counts = largest.join(more, [*SCOPE, "kind"], "left").select(*SCOPE, "kind", (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("duplicate_count"))
+    return sets.join(counts, [*SCOPE, "kind"]).select(*SCOPE, "asset_id", "duplicate_count")
+
+
 def stats(hashes: DataFrame, once: bool = False) -> DataFrame:
     """Per project and recipe: duplicate groups, links and assets with a duplicate.
 

@@ -55,6 +55,17 @@ def search_filter(id_: str | None = None, path_term: str | None = None) -> Colum
     return out
 
 
+def hash_at(hashes: DataFrame, asset_id: str, algorithm_id: int, sequence_index: int) -> DataFrame:
+    """The hash row of an asset at one place of a recipe, if there is one."""
+    return hashes.where((F.col("asset_id") == asset_id) & (F.col("algorithm_id") == algorithm_id) & (F.col("sequence_index") == sequence_index))
+
+
+def hashes_of(hashes: DataFrame, asset_id: str, algorithm_id: int | None = None) -> DataFrame:
+    """All hash rows of an asset, of one recipe or of all, in order."""
+    mine = hashes.where(F.col("asset_id") == asset_id)
+    return (mine if algorithm_id is None else mine.where(F.col("algorithm_id") == algorithm_id)).orderBy("algorithm_id", "sequence_index")
+
+
 def edges_by_project(edges: DataFrame, assets: DataFrame, threshold: float) -> DataFrame:
     """One row per undirected edge with both identities."""
     e = canonical(at_least(edges, threshold)).select(*SCOPE, "asset_id", "other_asset_id", "distance", "similarity")

@@ -11,8 +11,6 @@ from twinmesh.functions import hashing, scalars
 from twinmesh.operators import exact
 
 SCOPE = ["project_id", "algorithm_id"]
-#: Beyond so many qualifying edges of a scope, statistics are degraded and cluster listings refused.
-EDGE_CAP = 200_000
 
 
 def assets_per_project(assets: DataFrame) -> DataFrame:
@@ -74,11 +72,12 @@ def scope_edges(edges: DataFrame, projects: DataFrame, default: float) -> DataFr
     return edges.join(F.broadcast(thresholds(projects, default)), "project_id").where("similarity >= threshold").drop("threshold")
 
 
-def duplicates_per_recipe(projects: DataFrame, algorithms: DataFrame, hashes: DataFrame, edges: DataFrame, members: DataFrame, default: float, cap: int = EDGE_CAP) -> DataFrame:
+def duplicates_per_recipe(projects: DataFrame, algorithms: DataFrame, hashes: DataFrame, edges: DataFrame, members: DataFrame, default: float, cap: int | None = None) -> DataFrame:
     """Per project and configured recipe: assets, clusters, edges, assets with a duplicate and their
     percentage, degraded. Exact recipes come from their hash classes; Hamming recipes from
     clusters at the project's threshold (``members``); a recipe that was never hashed is zero; a
-    comparison without an edge list, or more than ``cap`` edges, is degraded: its numbers are null."""
+    comparison without an edge list is degraded: its numbers are null. So is, where a ``cap`` is given, a
+    scope of more edges."""
     configured = projects.select("project_id", F.explode(F.array_distinct("recipes")).alias("recipe")).join(F.broadcast(algorithms.select("recipe", "algorithm_id", "comparison")), "recipe", "left")
     of_exact = exact.stats(hashes.join(F.broadcast(algorithms.where("comparison = 'exact'").select("algorithm_id")), "algorithm_id", "left_semi"))
     e = scope_edges(edges, projects, default).where("asset_id < other_asset_id").groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("edge_count"))
@@ -89,7 +88,9 @@ def duplicates_per_recipe(projects: DataFrame, algorithms: DataFrame, hashes: Da
     counts = assets_per_recipe(hashes, algorithms)
     out = configured.join(stats, SCOPE, "left").join(counts, ["project_id", "recipe"], "left")
     # a left join with nothing found is zero; the comparison decides what can be reported at all
-    degraded = F.coalesce(F.col("comparison") == "cosine", F.lit(False)) | (F.coalesce(F.col("comparison") == "hamming", F.lit(False)) & (F.coalesce("edge_count", F.lit(0)) > cap))
+    degraded = F.coalesce(F.col("comparison") == "cosine", F.lit(False))
+    if cap is not None:
+        degraded = degraded | (F.coalesce(F.col("comparison") == "hamming", F.lit(False)) & (F.coalesce("edge_count", F.lit(0)) > cap))
     number = lambda c: F.when(~degraded, F.coalesce(c, F.lit(0))).cast("bigint").alias(c)
     out = out.select("project_id", "recipe", F.coalesce("asset_count", F.lit(0)).alias("asset_count"), number("cluster_count"), number("edge_count"), number("assets_with_duplicate_count"), degraded.alias("degraded"))
     return out.withColumn("assets_with_duplicate_pct", F.when(~F.col("degraded"), scalars.percent(F.col("assets_with_duplicate_count"), F.col("asset_count"))))

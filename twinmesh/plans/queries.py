@@ -462,7 +462,7 @@ def effective_thresholds(spark, root):
 @query(
     """SELECT c.project_id, c.recipe, coalesce(n.asset_count, 0) AS asset_count, CASE WHEN NOT degraded THEN coalesce(s.cluster_count, 0) END AS cluster_count, CASE WHEN NOT degraded THEN coalesce(s.edge_count, 0) END AS edge_count,
   CASE WHEN NOT degraded THEN coalesce(s.assets_with_duplicate_count, 0) END AS assets_with_duplicate_count, degraded, CASE WHEN NOT degraded THEN CASE WHEN coalesce(n.asset_count, 0) > 0 THEN floor(coalesce(s.assets_with_duplicate_count, 0) * 10000.0::DOUBLE / n.asset_count + 0.5) / 100.0::DOUBLE ELSE 0.0 END END AS assets_with_duplicate_pct
-FROM (SELECT c.*, s.cluster_count, s.edge_count, s.assets_with_duplicate_count, coalesce(c.comparison = 'cosine', false) OR (coalesce(c.comparison = 'hamming', false) AND coalesce(s.edge_count, 0) > 200000) AS degraded FROM configured c LEFT JOIN stat s ON s.project_id = c.project_id AND s.algorithm_id = c.algorithm_id) c
+FROM (SELECT c.*, s.cluster_count, s.edge_count, s.assets_with_duplicate_count, coalesce(c.comparison = 'cosine', false) AS degraded FROM configured c LEFT JOIN stat s ON s.project_id = c.project_id AND s.algorithm_id = c.algorithm_id) c
 LEFT JOIN stat s ON s.project_id = c.project_id AND s.algorithm_id = c.algorithm_id
 LEFT JOIN (SELECT project_id, recipe, count(DISTINCT asset_id) AS asset_count FROM hashes JOIN algorithms USING (algorithm_id) GROUP BY 1, 2) n ON n.project_id = c.project_id AND n.recipe = c.recipe""",
     LIMITS,

@@ -1,17 +1,23 @@
 """The registry as a Python object: what a service or a notebook would call.
 
 Projects, algorithms and API clients are small and live in the driver; assets, hashes and edges are
-DataFrames; edges and clusters are versioned by scope in ``plans.state``.
+DataFrames. All of it is kept below the registry's folder: assets, hashes and the catalogue as one version
+under a numbered manifest, edges and clusters by scope (``plans.state``). A new process opens what is there.
+
+Exact recipes keep their classes: a scope's edges are the links of each member to its class's smallest
+asset, n - 1 rows for n copies, which have the same clusters; matches and rankings are read from the
+hashes.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import json
 import math
 import secrets
 import uuid
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,11 +25,15 @@ from pyspark.sql import functions as F
 from twinmesh.errors import AlgorithmContract, AlreadyExists, Forbidden, Invalid, NotFound, Unauthorized, UnsupportedRecipe
 from twinmesh.functions import parsing, scalars
 from twinmesh.operators import exact, hamming, mutations, reads
-from twinmesh.plans.state import EdgeState
+from twinmesh.plans.state import EdgeState, Store
 from twinmesh.schema import ASSETS, COSINE, EXACT, HAMMING, HASHES
 from twinmesh.session import Scratch
 
 
+#: Assets of one recomputation whose hashes are broadcast against the scope's; more are a rebuild.
+INCREMENTAL = 5_000
+
+
 @dataclass(frozen=True)
 class Project:
     project_id: str
@@ -132,18 +142,52 @@ class Catalogue:
                 return self.project(c.project_id)
         raise Unauthorized("unknown key")
 
+    def to_json(self) -> dict:
+        return {k: [asdict(x) for x in getattr(self, k).values()] for k in ("projects", "algorithms", "clients")}
+
+    @classmethod
+    def of_json(cls, value: dict) -> Catalogue:
+        when = lambda x: x and dt.datetime.fromisoformat(x)
+        projects = [Project(**{**p, "recipes": tuple(p["recipes"])}) for p in value["projects"]]
+        algorithms = [Algorithm(**a) for a in value["algorithms"]]
+        clients = [ApiClient(**{**c, "scopes": tuple(c["scopes"]), "created_at": when(c["created_at"]), "revoked_at": when(c["revoked_at"])}) for c in value["clients"]]
+        return cls({p.project_id: p for p in projects}, {a.recipe: a for a in algorithms}, {c.client_id: c for c in clients})
+
     def list_clients(self, project_id: str) -> list[ApiClient]:
         return sorted((c for c in self.clients.values() if c.project_id == project_id), key=lambda c: c.created_at)
 
 
 class Registry:
-    """Assets, hashes and versioned edges of all projects."""
+    """Assets, hashes and versioned edges of all projects, kept below ``root``. A catalogue that is given takes the
+    place of the stored one."""
 
     def __init__(self, spark: SparkSession, root: str, catalogue: Catalogue | None = None, default_threshold: float = 85.0, **state: object) -> None:
-        self.spark, self.catalogue, self.default_threshold = spark, catalogue or Catalogue(), default_threshold
+        self.spark, self.default_threshold = spark, default_threshold
         self.state = EdgeState(spark, root, **state)
-        self.assets = spark.createDataFrame([], ASSETS)
-        self.hashes = spark.createDataFrame([], HASHES)
+        self.store: Store = self.state.store
+        self.version, stored = self.store.newest("registry")
+        self._stored = stored or {"assets": None, "hashes": None, "catalogue": Catalogue().to_json(), "retired": []}
+        self.catalogue = catalogue or Catalogue.of_json(self._stored["catalogue"])
+        self.assets, self.hashes = self._table("assets", ASSETS), self._table("hashes", HASHES)
+
+    def _table(self, name: str, schema) -> DataFrame:
+        at = self._stored[name]
+        return self.spark.read.schema(schema).parquet(f"{self.store.root}/{at}") if at else self.spark.createDataFrame([], schema)
+
+    def save(self, assets: DataFrame | None = None, hashes: DataFrame | None = None) -> None:
+        """Publishes a new version: the catalogue as it is, and the tables that are given."""
+        m = {**self._stored, "catalogue": json.loads(json.dumps(self.catalogue.to_json(), default=lambda x: x.isoformat())), "retired": list(self._stored["retired"])}
+        for name, df, schema in (("assets", assets, ASSETS), ("hashes", hashes, HASHES)):
+            if df is not None:
+                path = f"registry/{name}-{uuid.uuid4().hex}"
+                df.select([F.col(f.name).cast(f.dataType) for f in schema.fields]).write.parquet(f"{self.store.root}/{path}")
+                if m[name]:
+                    m["retired"].append({"path": m[name], "at": self.state.clock()})
+                m[name] = path
+        self.version = self.store.publish("registry", self.version, m)
+        self.store.sweep(m, self.state.clock() - self.state.retention_s)
+        self._stored = m
+        self.assets, self.hashes = self._table("assets", ASSETS), self._table("hashes", HASHES)
 
     def scope(self, project_id: str, recipe: str, threshold: str | None = None) -> tuple[Project, Algorithm, float, bool]:
         """Project, algorithm, effective threshold, and whether a given threshold has no effect (exact
@@ -188,37 +232,73 @@ class Registry:
         statuses = scratch.store(mutations.hash_statuses(self.hashes, answered).join(algorithms, "algorithm_id"))
         changed = statuses.where("status <> 'unchanged'")
         touched = answered.join(changed.select("asset_id", "algorithm_id"), ["asset_id", "algorithm_id"], "left_semi")
-        self.assets = scratch.store(mutations.upsert(self.assets, new_assets, ["asset_id"]))
-        self.hashes = scratch.store(mutations.replace_hashes(self.hashes, touched.select("project_id", "algorithm_id", "asset_id", "hashes")))
-        for r in changed.select("algorithm_id").distinct().collect():
-            self.recompute(project_id, r.algorithm_id)
+        self.save(mutations.upsert(self.assets, new_assets, ["asset_id"]), mutations.replace_hashes(self.hashes, touched.select("project_id", "algorithm_id", "asset_id", "hashes")))
+        for r in changed.groupBy("algorithm_id").count().collect():
+            self.recompute_assets(project_id, r.algorithm_id, changed.where(F.col("algorithm_id") == r.algorithm_id).select("asset_id"), r["count"])
         return statuses.join(self.assets.select("asset_id", "identity_id", "identity_path"), "asset_id").select("asset_id", "identity_id", "identity_path", "recipe", "status")
 
-    def recompute(self, project_id: str, algorithm_id: int) -> int:
-        """Rebuilds the edges of a scope by one distributed join at the project's threshold; returns
-        the new generation."""
+    def _algorithm(self, algorithm_id: int) -> Algorithm:
         a = next((x for x in self.catalogue.algorithms.values() if x.algorithm_id == algorithm_id), None)
         if a is None:
             raise NotFound(f"no algorithm {algorithm_id}")
+        if a.comparison == COSINE:
+            raise UnsupportedRecipe(f"{a.recipe}: cosine edges aren't kept in the registry")
+        return a
+
+    def _threshold(self, project_id: str) -> float:
+        p = self.catalogue.project(project_id)
+        return p.hamming_threshold if p.hamming_threshold is not None else self.default_threshold
+
+    def recompute(self, project_id: str, algorithm_id: int) -> int:
+        """Rebuilds the edges of a scope at the project's threshold by one distributed join; returns
+        the new generation. An exact scope is rebuilt from its classes, with one link a member."""
+        a = self._algorithm(algorithm_id)
         h = reads.in_scope(self.hashes, project_id, algorithm_id)
         if a.comparison == EXACT:
-            edges = exact.matches_of(h, h)
-        elif a.comparison == HAMMING:
-            p = self.catalogue.project(project_id)
-            t = p.hamming_threshold if p.hamming_threshold is not None else self.default_threshold
-            edges = hamming.asset_edges(h, hamming.class_edges(h, a.bits or 64, t, Scratch(self.spark, "recompute")))
-        elif a.comparison == COSINE:
-            raise UnsupportedRecipe(f"{a.recipe}: cosine edges aren't kept in the registry")
+            edges = exact.star_edges(h)
+        else:
+            edges = hamming.asset_edges(h, hamming.class_edges(h, a.bits or 64, self._threshold(project_id), Scratch(self.spark, "recompute")))
         return self.state.replace(project_id, algorithm_id, edges.withColumn("computed_at", F.current_timestamp()))
 
+    def recompute_assets(self, project_id: str, algorithm_id: int, assets: DataFrame, n: int | None = None) -> int:
+        """Rebuilds the edges of some assets (asset_id): their hashes are compared with all of the scope, and the
+        other edges stay. More than INCREMENTAL assets, and exact scopes, whose classes cost one pass, are rebuilt
+        as a whole."""
+        a = self._algorithm(algorithm_id)
+        ids = assets.select("asset_id").distinct()
+        if a.comparison == EXACT or (ids.count() if n is None else n) > INCREMENTAL:
+            return self.recompute(project_id, algorithm_id)
+        h = reads.in_scope(self.hashes, project_id, algorithm_id)
+        found = hamming.edges_of(h, ids, a.bits or 64, self._threshold(project_id)).withColumn("computed_at", F.current_timestamp())
+        kept = mutations.delete_asset_edges(self.state.edges(project_id, algorithm_id), ids.select(F.lit(algorithm_id).alias("algorithm_id"), "asset_id"))
+        return self.state.replace(project_id, algorithm_id, kept.unionByName(found.select(kept.columns)))
+
+    def recompute_project(self, project_id: str, recipe: str | None = None) -> dict[str, int]:
+        """Rebuilds all scopes of a project that have hashes, or one recipe's: the new generation of each."""
+        self.catalogue.project(project_id)
+        have = {r.algorithm_id for r in self.hashes.where(F.col("project_id") == project_id).select("algorithm_id").distinct().collect()}
+        wanted = [a for a in self.catalogue.algorithms.values() if a.algorithm_id in have and a.comparison != COSINE and recipe in (None, a.recipe)]
+        return {a.recipe: self.recompute(project_id, a.algorithm_id) for a in wanted}
+
+    def delete_project(self, project_id: str) -> None:
+        """Deletes a project with its clients, assets, hashes, edges and snapshots; one that isn't there is no error."""
+        self.catalogue.delete_project(project_id)
+        keep = lambda df: df.where(~F.coalesce(F.col("project_id") == project_id, F.lit(False)))
+        self.save(keep(self.assets), keep(self.hashes))
+        self.state.drop(project_id)
+
     def delete_asset(self, project_id: str, id_: str | None = None, path: str | None = None) -> None:
         """Deletes an asset with its hashes and edges; one that isn't there is no error."""
         scratch = Scratch(self.spark, "delete")
         gone = scratch.store(reads.identity_filter(self.assets.where(F.col("project_id") == project_id), id_, path).select("asset_id"))
         touched = [r.algorithm_id for r in self.hashes.join(gone, "asset_id", "left_semi").select("algorithm_id").distinct().collect()]
         none = self.state.edges(project_id, -1)
-        self.assets, self.hashes, _ = (scratch.store(x) for x in mutations.delete_assets(gone, self.assets, self.hashes, none))
+        assets, hashes, _ = mutations.delete_assets(gone, self.assets, self.hashes, none)
+        self.save(assets, hashes)
         for algorithm in touched:
+            if self._algorithm(algorithm).comparison == EXACT:  # the class may have hung on the deleted asset
+                self.recompute(project_id, algorithm)
+                continue
             ids = gone.select(F.lit(algorithm).alias("algorithm_id"), "asset_id")
             self.state.replace(project_id, algorithm, mutations.delete_asset_edges(self.state.edges(project_id, algorithm), ids))
 
@@ -233,15 +313,28 @@ class Registry:
     def matches(self, project_id: str, recipe: str, id_: str | None = None, path: str | None = None, threshold: str | None = None, page: str | None = None, page_size: str | None = None):
         _, a, t, _ = self.scope(project_id, recipe, threshold)
         asset = self.asset(project_id, id_, path)
-        rows = reads.matches(self.state.edges(project_id, a.algorithm_id), self.assets, asset.asset_id, t)
+        edges = self._edges_of(project_id, a, self.spark.createDataFrame([(asset.asset_id,)], "asset_id string"))
+        rows = reads.matches(edges, self.assets, asset.asset_id, t)
         return reads.paged(rows.select(scalars.identity("other_").alias("identity"), "distance", "similarity", "other_asset_id"), reads.match_order(), *parsing.page_of(page, page_size))
 
+    def _edges_of(self, project_id: str, a: Algorithm, assets: DataFrame) -> DataFrame:
+        """Directional edges from the given assets (asset_id); of exact recipes they come from the hashes."""
+        if a.comparison != EXACT:
+            return self.state.edges(project_id, a.algorithm_id)
+        h = reads.in_scope(self.hashes, project_id, a.algorithm_id)
+        return exact.matches_of(h, assets.select(F.lit(project_id).alias("project_id"), F.lit(a.algorithm_id).alias("algorithm_id"), "asset_id"))
+
     def ranking(self, project_id: str, recipe: str, threshold: str | None = None, match_limit: str | None = None, id_: str | None = None, path: str | None = None, page: str | None = None, page_size: str | None = None):
         _, a, t, _ = self.scope(project_id, recipe, threshold)
         limit = parsing.positive_int(match_limit, 2**31 - 1, "match_limit")
-        edges = self.state.edges(project_id, a.algorithm_id)
-        rows, info = reads.paged(reads.ranking(edges, self.assets, t, id_=id_, path_term=path), reads.ranking_order(), *parsing.page_of(page, page_size))
-        return reads.with_matches(rows, edges, self.assets, t, limit).orderBy(*reads.ranking_order()), info
+        if a.comparison == EXACT:
+            counted = exact.match_counts(reads.in_scope(self.hashes, project_id, a.algorithm_id))
+            ranked = counted.join(reads.named(self.assets.where(reads.search_filter(id_, path))), "asset_id")
+        else:
+            ranked = reads.ranking(self.state.edges(project_id, a.algorithm_id), self.assets, t, id_=id_, path_term=path)
+        rows, info = reads.paged(ranked, reads.ranking_order(), *parsing.page_of(page, page_size))
+        rows = Scratch(self.spark, "page").store(rows)
+        return reads.with_matches(rows, self._edges_of(project_id, a, rows), self.assets, t, limit).orderBy(*reads.ranking_order()), info
 
     def clusters(self, project_id: str, recipe: str, threshold: str | None = None, generation: int | None = None, id_: str | None = None, path: str | None = None, page: str | None = None, page_size: str | None = None):
         """A page of (cluster_id, max_similarity, assets), its numbers, and the generation."""
@@ -257,6 +350,23 @@ class Registry:
         lists = of.groupBy("cluster_id", "max_similarity").agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: x.dropFields("asset_id")).alias("assets"))
         return lists.orderBy(*reads.cluster_order()), info, g
 
+    def hash_rows(self, project_id: str, recipe: str, id_: str | None = None, path: str | None = None) -> DataFrame:
+        """The hash rows of an asset in one recipe, in sequence."""
+        a = self.catalogue.algorithms.get(recipe)
+        if a is None:
+            raise NotFound(f"no algorithm for {recipe}")
+        return reads.hashes_of(self.hashes, self.asset(project_id, id_, path).asset_id, a.algorithm_id)
+
+    def healthy(self) -> dict[str, bool]:
+        """Whether Spark runs a task and the registry's folder can be listed."""
+        out = {}
+        for name, probe in (("spark", lambda: self.spark.range(1).count() == 1), ("storage", lambda: self.store.folders("registry") is not None)):
+            try:
+                out[name] = bool(probe())
+            except Exception:  # noqa: BLE001
+                out[name] = False
+        return out
+
     def recipes(self, project_id: str, id_: str | None = None, path: str | None = None) -> list[str]:
         asset = self.asset(project_id, id_, path)
         names = {a.algorithm_id: a.recipe for a in self.catalogue.algorithms.values()}

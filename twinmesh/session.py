@@ -6,6 +6,7 @@ Iterative operators cut their lineage by writing Parquet tables into the folder
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import io
 import tempfile
@@ -51,25 +52,42 @@ def ship(spark: SparkSession) -> None:
     sc._twinmesh_shipped = True
 
 
+def _remove(spark: SparkSession, root: str) -> None:
+    """Deletes a folder, unless its application has ended already."""
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001
+        pass
+
+
 class Scratch:
-    """Written tables of one operator run; ``store`` cuts lineage, ``drop`` removes a table early."""
+    """Written tables of one operator run; ``store`` cuts lineage, ``drop`` removes a table early. What is left is
+    deleted when the application ends, since a query's result may read it until then."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         ship(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        atexit.register(_remove, spark, self.root)
 
-    def store(self, df: DataFrame, name: str = "t", partition_by: list[str] | None = None) -> DataFrame:
+    def store(self, df: DataFrame, name: str = "t", partition_by: list[str] | None = None, options: dict | None = None) -> DataFrame:
         """Writes df, in folders by the columns of partition_by, and returns it as read back, with the
         same schema."""
         path = f"{self.root}/{self.count:03d}-{name}"
         self.count += 1
-        df.write.mode("overwrite").parquet(path, partitionBy=partition_by)
+        df.write.mode("overwrite").options(**(options or {})).parquet(path, partitionBy=partition_by)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._twinmesh_path = path
         return out
 
+    def files(self, df: DataFrame) -> list[str]:
+        """The files of a stored table, by name: one for each task that wrote rows."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._twinmesh_path)
+        listed = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
+        return sorted(f.getPath().toString() for f in listed if f.getPath().getName().startswith("part-"))
+
     def drop(self, *dfs: DataFrame) -> None:
         """Deletes stored tables that no later plan reads."""
         for df in dfs:
