@@ -44,29 +44,61 @@ def test_groups_of_giants_chains_and_ties(spark):
     assert G.groups(spark.createDataFrame([], LINK), Scratch(spark, "t")).count() == 0
 
 
-def test_loser_tree_merges_and_seeks():
+def in_batches(rows, size):
+    return iter([rows[i : i + size] for i in range(0, len(rows), size)])
+
+
+@pytest.mark.parametrize("size", [1, 4, 1000])
+def test_loser_tree_merges_and_seeks(size):
     rng = random.Random(7)
     for k in (1, 2, 3, 5, 8, 13):
-        runs = [sorted((1, rng.choice("abcd"), -rng.randint(90, 99) / 1.0, rng.randint(0, 3), f"i{rng.randint(0, 10**6)}") for _ in range(rng.randint(0, 60))) for _ in range(k)]
+        runs = [sorted((0, 1, rng.choice("abcd"), -rng.randint(90, 99) / 1.0, rng.randint(0, 3), f"i{rng.randint(0, 10**6)}") for _ in range(rng.randint(0, 60))) for _ in range(k)]
         want = []
         for g in "abcd":
-            rows = sorted(r for run in runs for r in run if r[1] == g)[:3]
-            want += [(1, g, i + 1, r[4], r[2], r[3]) for i, r in enumerate(rows)]
-        assert list(N.merge_runs(runs, 3)) == want
+            want += list(enumerate(sorted(r for run in runs for r in run if r[2] == g)[:3], 1))
+        assert list(N.merge_runs([in_batches(r, size) for r in runs], 3)) == want
     assert list(N.merge_runs([], 3)) == []
 
 
-def test_top_matches_against_sorting(spark):
+def test_top_matches_against_sorting(spark, monkeypatch):
     rng = random.Random(8)
     rows = {(1, "hot" if i % 2 else f"g{rng.randint(0, 40)}", f"o{i:05}"): (rng.choice([90.0, 95.5, 100.0]), rng.choice([None, 0, 1, 2])) for i in range(6000)}
     df = spark.createDataFrame([(*k, *v, "x", 1) for k, v in rows.items()], "algorithm_id int, asset_id string, other_asset_id string, similarity double, distance int, run string, bucket int")
-    got = {(r.algorithm_id, r.asset_id, r.rank_no, r.other_asset_id) for r in N.top_matches(df.repartition(7), 3).collect()}
     want = set()
     for g in {k[1] for k in rows}:
         mine = sorted((-v[0], 10**9 if v[1] is None else v[1], k[2]) for k, v in rows.items() if k[1] == g)[:3]
         want |= {(1, g, i + 1, x[2]) for i, x in enumerate(mine)}
-    assert got == want
-    assert N.top_matches(df.where("false"), 3).count() == 0
+    for fan_in, held, rows_ in ((512, 262_144, 20_000), (512, 16, 40), (3, 64, 10)):  # one pass; small batches and several tasks; several passes
+        monkeypatch.setattr(N, "FAN_IN", fan_in)
+        monkeypatch.setattr(N, "HELD_ROWS", held)
+        monkeypatch.setattr(N, "BUCKET_ROWS", rows_)
+        got = [(r.algorithm_id, r.asset_id, r.rank_no, r.other_asset_id) for r in N.top_matches(df.repartition(11), 3, Scratch(spark, "t")).collect()]
+        assert set(got) == want and len(got) == len(want)
+    assert N.top_matches(df.where("false"), 3, Scratch(spark, "t")).count() == 0
+
+
+def test_memory_of_a_merge_is_that_of_its_cursors(tmp_path, monkeypatch):
+    """A run ten times as long takes no more memory."""
+    import tracemalloc
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(N, "HELD_ROWS", 4_000)
+    peaks = []
+    for rows in (20_000, 200_000):
+        paths = []
+        for run in range(4):
+            keys = sorted(f"g{i:07}" for i in range(rows))
+            t = pa.table([[0] * rows, [1] * rows, keys, [90.0] * rows, [run] * rows, [f"o{run}"] * rows], schema=N.RUN_ARROW)
+            pq.write_table(t, tmp_path / f"{rows}-{run}.parquet", row_group_size=10_000)
+            paths.append(str(tmp_path / f"{rows}-{run}.parquet"))
+        tracemalloc.start()
+        n = sum(1 for _ in N.merge_runs([N._cursor(p, 0, 0, N.HELD_ROWS // 4) for p in paths], 2))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert n == 2 * rows
+    assert peaks[1] < 1.3 * peaks[0]
 
 
 def test_history_in_batches_equals_one_batch(spark, monkeypatch):

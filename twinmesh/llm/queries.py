@@ -83,7 +83,7 @@ WHERE l.later >= (SELECT min(opened_at) FROM ingest_batch WHERE batch_id = 1) AN
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """The first three current edges of each asset and algorithm."""
-    top = top_matches(current_edges(table(spark, root, "asset_hash_duplicate")), 3)
+    top = top_matches(current_edges(table(spark, root, "asset_hash_duplicate")), 3, Scratch(spark, "p5"))
     return top.select("algorithm_id", "asset_id", "rank_no", "other_asset_id")
 
 

@@ -1,33 +1,44 @@
-"""Top N items of every group by merging sorted runs.
+"""Top N items of every group by merging stored sorted runs.
 
 1. Rows are deduplicated by pair, so a group of any size lies spread over all partitions.
-2. Each partition is sorted by (group, score) and becomes a run; only the first N of a group in a
-   run can be among its first N overall, so a run keeps no more.
-3. Runs are stored by bucket of the group: as the map outputs of a shuffle, one file per run with an
-   index by bucket, which avoids runs x buckets small files.
-4. A task merges the runs of its bucket with a loser tree and, after N outputs, seeks every run to
-   its next group.
-
-A bucket gets at most N rows of a group from each run, so no task holds an unbounded group.
+2. Each partition is sorted by (bucket of the group, group, score) and becomes a run; only the first N of a
+   group in a run can be among its first N overall, so a run keeps no more.
+3. Runs are stored in the shared folder, one Parquet file each, in small row groups whose statistics say which
+   buckets they hold: an index by bucket without runs x buckets files.
+4. A task merges its bucket of all runs with a loser tree over cursors. A cursor reads the row groups of
+   its bucket a few rows at a time, so a task's memory is that of its cursors' batches, whatever a bucket or
+   a group holds. After N outputs every run is sought to its next group: in the batch by
+   the known start of the next group, beyond it batch by batch.
+5. More than FAN_IN runs are merged in passes, FAN_IN at a time, each into one longer run a bucket.
+
+Runs are in the shared folder, so a lost executor costs a task. The folder must be one that Arrow's file systems
+can read as well (a mounted path, HDFS, S3 or GCS).
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+import pyarrow.fs
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinmesh.session import ship
+from twinmesh.session import Scratch
 
 KEYS = ["algorithm_id", "asset_id"]
-RUN = "algorithm_id int, asset_id string, similarity double, distance int, other_asset_id string, run int"
+RUN = "bucket int, algorithm_id int, asset_id string, similarity double, distance int, other_asset_id string"
+RUN_ARROW = pa.schema([("bucket", pa.int32()), ("algorithm_id", pa.int32()), ("asset_id", pa.string()), ("similarity", pa.float64()), ("distance", pa.int32()), ("other_asset_id", pa.string())])
+RESULT = "algorithm_id int, asset_id string, rank_no int, other_asset_id string, similarity double, distance int"
 OUT = pa.schema([("algorithm_id", pa.int32()), ("asset_id", pa.string()), ("rank_no", pa.int32()), ("other_asset_id", pa.string()), ("similarity", pa.float64()), ("distance", pa.int32())])
 NO_DISTANCE = np.iinfo(np.int64).max
+#: Runs that a task merges at once, rows that all its cursors hold together, bytes of a run's row group, and rows of a bucket
+#: for which a further bucket is opened (up to spark.sql.shuffle.partitions).
+FAN_IN, HELD_ROWS, ROW_GROUP_BYTES, BUCKET_ROWS = 512, 262_144, 4 << 20, 20_000
 
 
 class LoserTree:
@@ -68,51 +79,68 @@ class LoserTree:
 
 
 class Run:
-    """A sorted run with the start of the next group known for every row."""
-
-    def __init__(self, rows: list[tuple]) -> None:
-        self.rows = rows
-        self.next_group = [0] * len(rows)
-        end = len(rows)
-        for i in range(len(rows) - 1, -1, -1):
-            if i + 1 < len(rows) and rows[i][:2] != rows[i + 1][:2]:
+    """A cursor over a sorted run that comes in batches of rows (tuples that begin with bucket and the group's two keys)."""
+
+    def __init__(self, batches: Iterator[list[tuple]]) -> None:
+        self.batches = batches
+        self.rows: list[tuple] = []
+        self.at = 0
+        self._load()
+
+    def _load(self) -> None:
+        self.rows, self.at = next(self.batches, []), 0
+        # for every row, where the next group starts in this batch
+        self.next_group, end = [0] * len(self.rows), len(self.rows)
+        for i in range(len(self.rows) - 1, -1, -1):
+            if i + 1 < len(self.rows) and self.rows[i][:3] != self.rows[i + 1][:3]:
                 end = i + 1
             self.next_group[i] = end
-        self.at = 0
 
     def head(self) -> tuple | None:
         return self.rows[self.at] if self.at < len(self.rows) else None
 
+    def advance(self) -> None:
+        self.at += 1
+        if self.at == len(self.rows):
+            self._load()
 
-def merge_runs(runs: list[list[tuple]], n: int) -> Iterator[tuple]:
-    """The first n rows of each group, of runs of (algorithm, asset, -similarity, distance, item)
-    sorted ascending; yields (algorithm, asset, rank, item, -similarity, distance)."""
-    cursors = [Run(r) for r in runs if r]
+    def seek(self) -> None:
+        """To the next group."""
+        group = self.rows[self.at][:3]
+        while self.rows and self.rows[self.at][:3] == group:
+            self.at = self.next_group[self.at]
+            if self.at == len(self.rows):
+                self._load()
+
+
+def merge_runs(runs: list[Iterator[list[tuple]]], n: int) -> Iterator[tuple]:
+    """The first n rows of each group, of runs of (bucket, algorithm, asset, -similarity, distance, item)
+    sorted ascending, each in batches; yields (rank, row)."""
+    cursors = [c for c in map(Run, runs) if c.rows]
     if not cursors:
         return
     tree = LoserTree([c.head() for c in cursors])
     group, out = None, 0
     while (row := tree.heads[tree.winner]) is not None:
         c = cursors[tree.winner]
-        if row[:2] != group:
-            group, out = row[:2], 0
+        if row[:3] != group:
+            group, out = row[:3], 0
         if out < n:
             out += 1
-            yield (row[0], row[1], out, row[4], row[2], row[3])
-            c.at += 1
+            yield out, row
+            c.advance()
         else:
-            c.at = c.next_group[c.at]
+            c.seek()
         tree.replace(c.head())
 
 
 def _cut(n: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = TaskContext.get().partitionId()
         last, seen = None, 0
         for b in batches:
             if not b.num_rows:
                 continue
-            a, x = b.column(0), b.column(1)
+            a, x = b.column(1), b.column(2)
             new = np.ones(b.num_rows, bool)
             new[1:] = pc.or_(pc.not_equal(a.slice(1), a.slice(0, len(a) - 1)), pc.not_equal(x.slice(1), x.slice(0, len(x) - 1))).to_numpy(zero_copy_only=False)
             first = (a[0].as_py(), x[0].as_py())
@@ -121,54 +149,101 @@ def _cut(n: int):
             if first == last:
                 rank[: starts[1] if len(starts) > 1 else b.num_rows] += seen
             last, seen = (a[b.num_rows - 1].as_py(), x[b.num_rows - 1].as_py()), int(rank[-1]) + 1
-            kept = b.filter(pa.array(rank < n))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(np.full(kept.num_rows, run, np.int32))], names=[*b.schema.names, "run"])
+            yield b.filter(pa.array(rank < n))
 
     return cut
 
 
-def _merge(n: int):
+def _open(path: str) -> pq.ParquetFile:
+    path = path.replace("s3a://", "s3://", 1)
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    fs, name = (pyarrow.fs.LocalFileSystem(), path) if path.startswith("/") else pyarrow.fs.FileSystem.from_uri(path)
+    return pq.ParquetFile(fs.open_input_file(name), pre_buffer=False)
+
+
+def _cursor(path: str, low: int, high: int, rows: int) -> Iterator[list[tuple]]:
+    """The rows of buckets low to high of a stored run, in batches: only row groups whose statistics reach into
+    them are read."""
+    file = _open(path)
+    try:
+        at = file.schema_arrow.get_field_index("bucket")
+        groups = []
+        for i in range(file.metadata.num_row_groups):
+            s = file.metadata.row_group(i).column(at).statistics
+            if s is None or not s.has_min_max or (s.min <= high and low <= s.max):
+                groups.append(i)
+        for b in file.iter_batches(batch_size=rows, row_groups=groups) if groups else ():
+            b = b.filter(pc.and_(pc.greater_equal(b.column(at), low), pc.less_equal(b.column(at), high)))
+            if b.num_rows:
+                bucket, alg, asset, sim, dist, item = b.columns
+                yield list(zip(bucket.to_pylist(), alg.to_pylist(), asset.to_pylist(), pc.negate(sim).to_pylist(), pc.fill_null(dist.cast(pa.int64()), NO_DISTANCE).to_pylist(), item.to_pylist()))
+    finally:
+        file.close()
+
+
+def _merge(n: int, paths, ranked: bool):
+    """Merges, for each task (low, high, first, last), the buckets low to high of the runs paths[first:last]: to
+    results, or to a longer run."""
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[int, list[tuple]] = {}
         for b in batches:
-            alg, asset, sim, dist, item, run = b.columns
-            rows = list(zip(alg.to_pylist(), asset.to_pylist(), pc.negate(sim).to_pylist(), pc.fill_null(dist.cast(pa.int64()), NO_DISTANCE).to_pylist(), item.to_pylist()))
-            tags = run.to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(tags)) + 1).tolist(), len(rows)]
-            for i, j in zip(cuts, cuts[1:]):
-                if j > i:
-                    runs.setdefault(int(tags[i]), []).extend(rows[i:j])
-        for r in runs.values():  # blocks of a run come in order; where they don't, its order is restored
-            if any(x > y for x, y in zip(r, r[1:])):
-                r.sort()
-        out: list[tuple] = []
-
-        def batch() -> pa.RecordBatch:
-            alg, asset, rank, item, sim, dist = zip(*out)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(alg, pa.int32()), pa.array(asset, pa.string()), pa.array(rank, pa.int32()), pa.array(item, pa.string()), pa.array([-s for s in sim], pa.float64()), pa.array([None if d == NO_DISTANCE else d for d in dist], pa.int32())],
-                schema=OUT,
-            )
-
-        for row in merge_runs(list(runs.values()), n):
-            out.append(row)
-            if len(out) == 10_000:
-                yield batch()
-                out.clear()
-        if out:
-            yield batch()
+            for low, high, first, last in zip(*[c.to_pylist() for c in b.columns]):
+                size, out = max(16, HELD_ROWS // max(1, last - first)), []
+                for row in merge_runs([_cursor(p, low, high, size) for p in paths.value[first:last]], n):
+                    out.append(row)
+                    if len(out) == 10_000:
+                        yield _batch(out, ranked)
+                        out.clear()
+                if out:
+                    yield _batch(out, ranked)
 
     return merge
 
 
-def top_matches(edges: DataFrame, n: int) -> DataFrame:
+def _batch(rows: list[tuple[int, tuple]], ranked: bool) -> pa.RecordBatch:
+    bucket, alg, asset, sim, dist, item = zip(*[r for _, r in rows])
+    sim, dist = [-s for s in sim], [None if d == NO_DISTANCE else d for d in dist]
+    columns, schema = ([alg, asset, [k for k, _ in rows], item, sim, dist], OUT) if ranked else ([bucket, alg, asset, sim, dist, item], RUN_ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema)], schema=schema)
+
+
+def _store(runs: DataFrame, scratch: Scratch) -> tuple[dict[int, str], int]:
+    """Writes one file per task; their paths by task, and their rows. Tasks without rows have no file, or an empty one."""
+    written = scratch.store(runs, "runs", options={"parquet.block.size": ROW_GROUP_BYTES, "parquet.page.size": 1 << 16})
+    return {int(re.search(r"part-(\d+)-[^/]*$", f)[1]): f for f in scratch.files(written)}, written.count()
+
+
+def _tasks(spark: SparkSession, tasks: list[tuple[int, int, int, int]]) -> DataFrame:
+    """One partition for each task."""
+    rows = spark.createDataFrame([(i, *t) for i, t in enumerate(tasks)], "i int, low int, high int, first int, last int")
+    return rows.repartitionById(max(1, len(tasks)), "i").select("low", "high", "first", "last")
+
+
+def top_matches(edges: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     """The first n of each (algorithm_id, asset_id) by similarity descending, distance ascending
     (null last), other_asset_id ascending, numbered from 1.
 
     ``edges`` has one row per (algorithm_id, asset_id, other_asset_id), as ``current_edges`` gives
     it: no null in these columns or in similarity. Groups of fewer rows give what they have; an
     empty table gives no rows; other columns are ignored."""
-    ship(edges.sparkSession)
-    lean = edges.select(*KEYS, "similarity", "distance", "other_asset_id")
-    runs = lean.sortWithinPartitions(*KEYS, F.desc("similarity"), F.col("distance").asc_nulls_last(), "other_asset_id").mapInArrow(_cut(n), RUN)
-    return runs.repartition(*KEYS).mapInArrow(_merge(n), "algorithm_id int, asset_id string, rank_no int, other_asset_id string, similarity double, distance int")
+    spark = edges.sparkSession
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    lean = edges.select(F.pmod(F.xxhash64(*KEYS), F.lit(buckets)).cast("int").alias("bucket"), *KEYS, "similarity", "distance", "other_asset_id")
+    runs = lean.sortWithinPartitions("bucket", *KEYS, F.desc("similarity"), F.col("distance").asc_nulls_last(), "other_asset_id").mapInArrow(_cut(n), RUN)
+    files, rows = _store(runs, scratch)
+    # small tables take several buckets to a task
+    parts = max(1, min(buckets, -(-rows // BUCKET_ROWS)))
+    ranges = [(buckets * i // parts, buckets * (i + 1) // parts - 1) for i in range(parts)]
+    paths = list(files.values())
+    tasks = [(lo, hi, 0, len(paths)) for lo, hi in ranges]
+    while any(t[3] - t[2] > FAN_IN for t in tasks):
+        cut = [[(lo, hi, i, min(last, i + FAN_IN)) for i in range(first, last, FAN_IN)] for lo, hi, first, last in tasks]
+        files, _ = _store(_tasks(spark, [t for of in cut for t in of]).mapInArrow(_merge(n, spark.sparkContext.broadcast(paths), False), RUN), scratch)
+        paths, tasks, number = [], [], 0
+        for (lo, hi), of in zip(ranges, cut):
+            first = len(paths)
+            paths += [files[i] for i in range(number, number + len(of)) if i in files]
+            tasks.append((lo, hi, first, len(paths)))
+            number += len(of)
+    return _tasks(spark, tasks).mapInArrow(_merge(n, spark.sparkContext.broadcast(paths), True), RESULT)
