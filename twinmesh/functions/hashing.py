@@ -26,10 +26,6 @@ def distance(left: list[Column], right: list[Column]) -> Column:
     return total
 
 
-def hex_distance(a: Column | str, b: Column | str, bits: int) -> Column:
-    return distance([word(a, i) for i in range(-(-bits // 64))], [word(b, i) for i in range(-(-bits // 64))])
-
-
 def similarity(distance_: Column, bits: Column | int) -> Column:
     """100 * (bits - distance) / bits rounded half up to one decimal, in integers until the last step."""
     n = bits if isinstance(bits, Column) else F.lit(bits)

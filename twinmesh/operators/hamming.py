@@ -72,8 +72,7 @@ def plan(bits: int, d_max: int, n: int) -> int | None:
     for m in range(1, min(d_max + 1, bits) + 1):
         width = bits // m
         probes = m * sum(math.comb(width + 1, i) for i in range(d_max // m + 1))
-        cost = probes * (1 + n / 2**width) * ROW_NS
-        if probes <= MOST_PROBES and cost < best:
+        if probes <= MOST_PROBES and (cost := probes * (1 + n * 0.5 ** min(width, 1_000)) * ROW_NS) < best:
             best, bands = cost, m
     return bands
 
@@ -274,6 +273,20 @@ def asset_edges(hashes: DataFrame, pairs: DataFrame) -> DataFrame:
     return all_.groupBy(*SCOPE, "asset_id", "other_asset_id").agg(F.min("distance").alias("distance"), F.max("similarity").alias("similarity"))
 
 
+def best_frames(hashes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(SCOPE, asset_id, distance, similarity): each asset's best frame pair with any other asset, of equal hashes and of
+    the pairs (SCOPE, hash, other_hash, distance, similarity); assets without one have no row. A hash stands for all its
+    assets by the smallest and the greatest of them, so a shared frame makes no pairs of assets."""
+    have = hashes.select(*SCOPE, "hash", "asset_id").dropna().distinct()
+    frames = have.groupBy(*SCOPE, "hash").agg(F.min("asset_id").alias("low"), F.max("asset_id").alias("high"))
+    same = have.join(frames.where("low <> high"), [*SCOPE, "hash"]).select(*SCOPE, "asset_id", F.lit(0).alias("distance"), F.lit(100.0).alias("similarity"))
+    both = pairs.select(*SCOPE, "hash", "other_hash", "distance", "similarity")
+    both = both.unionByName(both.select(*SCOPE, F.col("other_hash").alias("hash"), F.col("hash").alias("other_hash"), "distance", "similarity"))
+    near = have.join(both, [*SCOPE, "hash"]).join(frames.withColumnRenamed("hash", "other_hash"), [*SCOPE, "other_hash"])
+    near = near.where("low <> asset_id or high <> asset_id").select(*SCOPE, "asset_id", "distance", "similarity")
+    return same.unionByName(near).groupBy(*SCOPE, "asset_id").agg(F.min("distance").alias("distance"), F.max("similarity").alias("similarity"))
+
+
 def edges_of(hashes: DataFrame, assets: DataFrame, bits: int, threshold: float) -> DataFrame:
     """Directional edges between the given assets (asset_id; some thousands, since their hashes are broadcast) and all
     assets of their scope: best frame pairs, as ``asset_edges`` gives them. Only pairs with a given asset are

@@ -37,6 +37,11 @@ def delete_scope(df: DataFrame, project_id: str, algorithm_id: int) -> DataFrame
     return df.where(~F.coalesce((F.col("project_id") == project_id) & (F.col("algorithm_id") == algorithm_id), F.lit(False)))
 
 
+def delete_project(df: DataFrame, project_id: str) -> DataFrame:
+    """df without the rows of a project; rows of no project stay."""
+    return df.where(~F.coalesce(F.col("project_id") == project_id, F.lit(False)))
+
+
 def delete_assets(gone: DataFrame, assets: DataFrame, hashes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The tables without the assets in ``gone`` (asset_id), with everything that refers to them.
     Deleting an asset that isn't there changes nothing."""
@@ -107,6 +112,11 @@ def file_statuses(statuses: DataFrame) -> DataFrame:
     return statuses.groupBy("asset_id").agg(F.max(rank).alias("r")).select("asset_id", F.element_at(F.array(F.lit(UNCHANGED), F.lit(UPDATED), F.lit(CREATED)), F.col("r") + 1).alias("status"))
 
 
+def failures(answers: DataFrame) -> DataFrame:
+    """(asset_id, error) of ``normalised_answers``: the assets with an unusable answer, each with its first problem."""
+    return answers.where("problem is not null").groupBy("asset_id").agg(F.min("problem").alias("error"))
+
+
 def scan_summary(files: DataFrame) -> DataFrame:
     """total, created, updated, unchanged, failed of (asset_id, status, error): one row."""
     n = lambda s: F.count_if((F.col("status") == s) & F.col("error").isNull()).alias(s)

@@ -45,6 +45,18 @@ def identity_filter(assets: DataFrame, id_: str | None = None, path: str | None
     return assets.where(F.col("identity_path") == path) if path else assets.where("false")
 
 
+def find_assets(assets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(project_id, identity_id, identity_path, asset_id) of the identities in ``wanted``, each once: the asset of the id
+    where one is given, else of the path, in the project; the smallest of several, null where there is none."""
+    key = ["project_id", "identity_id", "identity_path"]
+    wanted = wanted.select(*key).distinct()
+    given = F.coalesce(F.col("identity_id") != "", F.lit(False))
+    least = lambda c: assets.where(F.col(c).isNotNull()).groupBy("project_id", c).agg(F.min("asset_id").alias("asset_id"))
+    by_id = wanted.where(given).join(least("identity_id"), ["project_id", "identity_id"], "left")
+    by_path = wanted.where(~given).join(least("identity_path"), ["project_id", "identity_path"], "left")
+    return by_id.select(*key, "asset_id").unionByName(by_path.select(*key, "asset_id"))
+
+
 def search_filter(id_: str | None = None, path_term: str | None = None) -> Column:
     """An asset satisfies id and path term together; a missing one is always satisfied."""
     out = F.lit(True)
@@ -60,6 +72,12 @@ def hash_at(hashes: DataFrame, asset_id: str, algorithm_id: int, sequence_index:
     return hashes.where((F.col("asset_id") == asset_id) & (F.col("algorithm_id") == algorithm_id) & (F.col("sequence_index") == sequence_index))
 
 
+def hashes_at(hashes: DataFrame, places: DataFrame) -> DataFrame:
+    """The hash rows at the given places (asset_id, algorithm_id, sequence_index)."""
+    at = ["asset_id", "algorithm_id", "sequence_index"]
+    return hashes.join(places.select(*at).distinct(), at, "left_semi")
+
+
 def hashes_of(hashes: DataFrame, asset_id: str, algorithm_id: int | None = None) -> DataFrame:
     """All hash rows of an asset, of one recipe or of all, in order."""
     mine = hashes.where(F.col("asset_id") == asset_id)
@@ -129,6 +147,16 @@ def paged(df: DataFrame, order: list[Column], page: int, size: int) -> tuple[Dat
     return rows, PageInfo(total, max(0, min(size, total - (page - 1) * size)), page, size)
 
 
+def head(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first n rows in the order, without counting them all."""
+    return df.orderBy(*order).limit(n)
+
+
+def every(df: DataFrame, order: list[Column]) -> DataFrame:
+    """All rows in the order, as one table that is never collected here."""
+    return df.orderBy(*order)
+
+
 def keyset(assets: DataFrame, hashes: DataFrame, after: str | None, limit: int) -> DataFrame:
     """The next ``limit`` asset ids after ``after`` that have a hash in the scope."""
     ids = assets.select("asset_id").join(hashes.select("asset_id"), "asset_id", "left_semi")

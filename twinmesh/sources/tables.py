@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,15 +38,19 @@ def current_edges(edges: DataFrame) -> DataFrame:
 
 
 def current_assets(assets: DataFrame) -> DataFrame:
-    """One row per asset_id: the latest by updated_at, then created_at, identity_id, identity_path."""
-    order = [F.col(c).desc_nulls_last() for c in ("updated_at", "created_at", "identity_id", "identity_path", "project_id")]
-    w = Window.partitionBy("asset_id").orderBy(*order)
-    return assets.where(F.col("asset_id").isNotNull()).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """One row per asset_id: the latest by updated_at, then created_at, identity_id, identity_path; nulls are
+    older than any value. Repeated rows are combined before the shuffle."""
+    order = ["updated_at", "created_at", "identity_id", "identity_path", "project_id"]
+    rest = [c for c in assets.columns if c not in (*order, "asset_id")]
+    last = assets.where(F.col("asset_id").isNotNull()).groupBy("asset_id").agg(F.max(F.struct(*order, *rest)).alias("last"))
+    return last.select(*[F.col("asset_id") if c == "asset_id" else F.col(f"last.{c}") for c in assets.columns])
 
 
 def current_hashes(hashes: DataFrame) -> DataFrame:
     """One row per (asset_id, algorithm_id, sequence_index), the latest by updated_at, then hash_id,
     with the plain hash; rows whose plain hash is empty or not hexadecimal are rejected."""
     plain = hashes.withColumn("hash", plain_hash()).where(F.col("hash").rlike("^[0-9a-f]+$") & F.col("asset_id").isNotNull())
-    w = Window.partitionBy("asset_id", "algorithm_id", "sequence_index").orderBy(F.col("updated_at").desc_nulls_last(), F.col("hash_id").desc_nulls_last())
-    return plain.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    place, order = ["asset_id", "algorithm_id", "sequence_index"], ["updated_at", "hash_id"]
+    rest = [c for c in plain.columns if c not in (*order, *place)]
+    last = plain.groupBy(*place).agg(F.max(F.struct(*order, *rest)).alias("last"))
+    return last.select(*[F.col(c) if c in place else F.col(f"last.{c}") for c in plain.columns])

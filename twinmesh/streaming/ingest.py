@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from twinmesh.plans.registry import Registry
@@ -16,6 +17,8 @@ def ingest_stream(registry: Registry, project_id: str, answers: DataFrame, check
 
     def batch(df: DataFrame, _: int) -> None:
         if not df.isEmpty():
-            registry.ingest(project_id, df.dropDuplicates(["identity_id", "identity_path", "recipe"]), dt.datetime.now(dt.timezone.utc))
+            # of several answers for one place, the one with most hashes counts, then the greatest list: whatever their order
+            best = F.max_by("hashes", F.struct(F.size("hashes"), "hashes")).alias("hashes")
+            registry.ingest(project_id, df.groupBy("identity_id", "identity_path", "recipe").agg(best), dt.datetime.now(dt.timezone.utc))
 
     return answers.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
