@@ -144,8 +144,10 @@ def test_components_of_chains_stars_and_noise(spark, monkeypatch):
     df = edges(spark, [(a, b, 95.0) for a, b in pairs] + [("x", "x", 99.0), (None, "y", 99.0)])
     got = {r.asset_id: r.cluster_id for r in components(df, ["project_id", "algorithm_id"], Scratch(spark, "t")).collect()}
     assert got == union_find([p for p in pairs if p[0] != p[1]])
-    monkeypatch.setattr(components_module, "LAST_LINKS", 0)  # by rounds alone
-    assert got == {r.asset_id: r.cluster_id for r in components(df, ["project_id", "algorithm_id"], Scratch(spark, "t")).collect()}
+    monkeypatch.setattr(components_module, "LAST_LINKS", 0)  # by rounds alone, and with hubs apart
+    for hubs in (10**6, 0):
+        monkeypatch.setattr(components_module, "HUBS_FROM", hubs)
+        assert got == {r.asset_id: r.cluster_id for r in components(df, ["project_id", "algorithm_id"], Scratch(spark, "t")).collect()}
     assert components(df.where("false"), ["project_id"], Scratch(spark, "t")).count() == 0
 
 

@@ -37,8 +37,9 @@ def name_vertices(links: DataFrame, scope: list[str], scratch: Scratch) -> tuple
     return vertices, two.select("u", "v")
 
 
-#: Links that one task labels at most (16 bytes each), and the share of all links that makes a hub.
-LAST_LINKS, HUB_SHARE = 200_000, 0.01
+#: Links that one task labels at most (16 bytes each), the share of all links that makes a hub, and the links from which
+#: hubs are looked for (below, a hot key is small).
+LAST_LINKS, HUB_SHARE, HUBS_FROM = 200_000, 0.01, 1_000_000
 
 
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,6 +57,17 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[label])], names=["name", "label"])
 
 
+def _relabel(links: DataFrame, end: str, to: str, labels: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """Links with the label of the vertex at one end. A hub takes its label from the broadcast rows, and its links are
+    spread over all partitions."""
+    if hubs is None:
+        return links.join(labels.select(F.col("name").alias(end), F.col("label").alias(to)), end)
+    x = links.join(F.broadcast(hubs.select(F.col("name").alias(end), F.col("label").alias("_hub"))), end, "left")
+    x = x.withColumn("_key", F.when(F.col("_hub").isNull(), F.col(end)).otherwise(F.xxhash64("u", "v")))
+    found = labels.select(F.col("name").alias("_key"), F.col("label").alias("_label"))
+    return x.join(found, "_key", "left").withColumn(to, F.coalesce("_hub", "_label")).drop("_key", "_hub", "_label")
+
+
 def contract(links: DataFrame, scratch: Scratch, last: int = 0) -> DataFrame | None:
     """(name, label) for every vertex of the links (u, v): equal labels within a component and
     different ones otherwise. None if there are no links. Once ``last`` links are left, one task labels them."""
@@ -70,18 +82,11 @@ def contract(links: DataFrame, scratch: Scratch, last: int = 0) -> DataFrame | N
         choice, hubs = chosen.select("name", "label"), chosen.where(F.col("degree") >= n * HUB_SHARE).select("name")
         hop = lambda x: x.join(x.select(F.col("name").alias("label"), F.col("label").alias("next")), "label").select("name", F.col("next").alias("label"))
         rounds.append(scratch.store(hop(hop(choice)), "choice"))
-        few = scratch.store(rounds[-1].join(F.broadcast(hubs), "name", "left_semi"), "hubs")  # 2 / HUB_SHARE at most
+        few = None
+        if n >= HUBS_FROM:
+            few = scratch.store(rounds[-1].join(F.broadcast(hubs), "name", "left_semi"), "hubs")  # 2 / HUB_SHARE at most
         scratch.drop(chosen)
-
-        def relabel(x: DataFrame, c: str, to: str) -> DataFrame:
-            """A hub takes its label from the broadcast rows, and its links are spread over all partitions."""
-            other = "v" if c == "u" else "u"
-            x = x.join(F.broadcast(few.select(F.col("name").alias(c), F.col("label").alias("_hub"))), c, "left")  # noqa: B023
-            x = x.withColumn("_key", F.when(F.col("_hub").isNull(), F.col(c)).otherwise(F.xxhash64(c, other)))
-            found = rounds[-1].select(F.col("name").alias("_key"), F.col("label").alias("_label"))
-            return x.join(found, "_key", "left").withColumn(to, F.coalesce("_hub", "_label")).drop("_key", "_hub", "_label")
-
-        new = relabel(relabel(links, "u", "a"), "v", "b").where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+        new = _relabel(_relabel(links, "u", "a", rounds[-1], few), "v", "b", rounds[-1], few).where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
         old, links = links, scratch.store(new, "links")
         scratch.drop(old)
     final = None
