@@ -116,4 +116,13 @@ def components(links: DataFrame, scope: list[str], scratch: Scratch) -> DataFram
     if labels is None:
         return vertices.select(*scope, "asset_id", F.col("asset_id").alias("cluster_id"))
     labelled = scratch.store(vertices.select(*scope, "asset_id", "name").join(labels, "name").select(*scope, "asset_id", "label"), "labelled")
-    return labelled.join(labelled.groupBy("label").agg(F.min("asset_id").alias("cluster_id")), "label").select(*scope, "asset_id", "cluster_id")
+    least = labelled.groupBy("label").agg(F.min("asset_id").alias("cluster_id"), F.count(F.lit(1)).alias("n"))
+    n = labelled.count()
+    if n < HUBS_FROM:
+        return labelled.join(least, "label").select(*scope, "asset_id", "cluster_id")
+    # components with a hundredth of all vertices, a hundred at most, are named by broadcast
+    least = scratch.store(least, "least")
+    big = F.broadcast(least.where(F.col("n") >= n * HUB_SHARE).select("label", F.col("cluster_id").alias("_big")))
+    x = labelled.join(big, "label", "left").withColumn("_key", F.when(F.col("_big").isNull(), F.col("label")).otherwise(F.xxhash64("asset_id")))
+    x = x.join(least.select(F.col("label").alias("_key"), "cluster_id"), "_key", "left")
+    return x.select(*scope, "asset_id", F.coalesce("_big", "cluster_id").alias("cluster_id"))
