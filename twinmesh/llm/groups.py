@@ -7,11 +7,12 @@ can slow the propagation down.
 1. Peel: breadth-first joins from the vertices of highest degree (the highest of each algorithm and
    any with a hundredth of all links: at most 200 and one per algorithm, so they are broadcast).
    A vertex takes the least source that reaches it. The search ends when its frontier is small.
-   The links inside the peeled part disappear; links that leave it, or join two
-   sources, stay as links of the source.
+   The links inside the peeled part disappear (both ends have the same source); links that leave it, or
+   join two sources, stay as links of the source, since a search that ends early leaves a tail.
 2. The rest: every vertex takes the least name next to it, these choices are followed twice (four
    steps), and the links are contracted to the chosen names, until none is left. Each round shrinks
-   the graph by a constant factor in expectation, whatever the diameter.
+   the graph by a constant factor in expectation, whatever the diameter. The last LAST_LINKS links go to
+   one task, which propagates minima until nothing changes, in place of many rounds of small jobs.
 3. The choices are composed from the last round to the first, and each group is named by its
    smallest asset id.
 
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinmesh.operators.components import clean_links, contract, name_vertices
+from twinmesh.operators.components import LAST_LINKS, clean_links, contract, name_vertices
 from twinmesh.session import Scratch
 
 HEAVY_SHARE = 0.01
@@ -74,7 +75,7 @@ def groups(links: DataFrame, scratch: Scratch) -> DataFrame:
     if vertices.isEmpty():
         return vertices.select("algorithm_id", "asset_id", F.col("asset_id").alias("group_id"))
     peeled, rest = _peel(vertices, named, scratch)
-    final = contract(rest, scratch)
+    final = contract(rest, scratch, LAST_LINKS)
     of = vertices.select("algorithm_id", "asset_id", "name").join(peeled, "name", "left")
     if final is None:
         labelled = of.withColumn("label", F.coalesce("source", "name"))
