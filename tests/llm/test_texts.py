@@ -27,7 +27,7 @@ def test_plans_place_every_document():
         h = Counter(lengths.tolist())
         plan = P.plan(h)
         fill, count = defaultdict(int), defaultdict(set)
-        for length, rank, m, first, position in plan.slots.tolist():
+        for length, _, m, first, position, _ in plan.slots.tolist():
             for c in range(first, first + m):
                 fill[c] += length
                 assert position not in count[c]
@@ -42,6 +42,19 @@ def test_plans_place_every_document():
             assert len(fill) <= 1.02 * -(-int(lengths.sum()) // P.CAPACITY) + 1
 
 
+def test_further_rounds_fit_what_is_left(monkeypatch):
+    rng = np.random.default_rng(3)
+    h = Counter(np.clip(rng.lognormal(6, 0.8, 30_000).astype(int), 1, P.CAPACITY).tolist())
+    share = lambda plan: (plan.slots[:, 0] * plan.slots[:, 2] * plan.slots[:, 5]).sum() / (plan.slots[:, 0] * plan.slots[:, 2]).sum()
+    whole = P.plan(h)
+    monkeypatch.setattr(P, "PATTERNS", 300)  # so few at once that one round leaves most
+    few = P.plan(h)
+    monkeypatch.setattr(P, "AGAIN", 1.0)
+    one = P.plan(h)
+    assert share(one) < 0.5 * share(few) and min(share(few), share(whole)) > 0.6, (share(one), share(few), share(whole))
+    assert sum(n for _, n, _ in few.groups.tolist()) <= 1.02 * -(-sum(k * v for k, v in h.items()) // P.CAPACITY)
+
+
 def test_long_lengths_use_patterns():
     h = {1500: 40, 548: 40, 1024: 20, 700: 30, 648: 30}
     plan = P.plan(h)

@@ -5,7 +5,8 @@ Only the histogram of lengths is planned (at most ``capacity`` numbers, whatever
 1. Patterns of at most three documents that fill a container to within a few tokens are
    enumerated over the lengths that occur.
 2. Non-negative least squares fits how often each pattern is used to the histogram; the counts are
-   rounded so that no length is used more often than it occurs.
+   rounded up so that no length is used more often than it occurs. At most PATTERNS patterns are fitted at once, those
+   that can be used most often; what they leave is enumerated and fitted again, until a round fills few containers.
 3. The residual lengths, mostly short ones, go best fit, longest first, into the space left and into
    new containers, again by counts and not by documents.
 
@@ -30,14 +31,15 @@ from twinmesh.llm.tokens import TOKENIZER, with_tokens
 from twinmesh.session import Scratch
 
 CAPACITY = 2_048
-#: Patterns kept of those enumerated, and the unused tokens allowed in one.
-PATTERNS, SLACK = 30_000, 2
+#: Patterns fitted at once, the unused tokens allowed in one, and the share of all containers that a round must fill to be
+#: followed by another; fitted counts of more than ROUND_UP are rounded up.
+PATTERNS, SLACK, AGAIN, ROUND_UP = 30_000, 2, 0.002, 0.02
 
 
 @dataclass
 class Plan:
-    """slots: rows (length, first rank, documents, first container, position), sorted by length and
-    rank; groups: rows (first container, containers, unused), sorted."""
+    """slots: rows (length, first rank, documents, first container, position, 1 where a pattern placed them),
+    sorted by length and rank; groups: rows (first container, containers, unused), sorted."""
 
     slots: np.ndarray
     groups: np.ndarray
@@ -95,27 +97,31 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
     for length, n in histogram.items():
         counts[length] = n
     left, taken = counts.copy(), np.zeros(capacity + 1, np.int64)
-    slots: list[tuple[int, int, int, int, int]] = []
+    slots: list[tuple[int, int, int, int, int, int]] = []
     # open containers: by space left, stacks of (first container, containers, documents in each)
     space: dict[int, list[tuple[int, int, int]]] = {}
     containers = 0
 
-    def put(length: int, n: int, first: int, position: int) -> None:
-        slots.append((length, int(taken[length]), n, first, position))
+    def put(length: int, n: int, first: int, position: int, by_pattern: int = 0) -> None:
+        slots.append((length, int(taken[length]), n, first, position, by_pattern))
         taken[length] += n
         left[length] -= n
 
-    p = patterns(counts, capacity)
-    x = np.rint(fit_counts(p, counts.astype(float))).astype(np.int64)
-    for i in np.argsort(-x, kind="stable"):
-        lengths = [int(v) for v in p[i] if v]
-        n = int(min([x[i], *(left[v] // lengths.count(v) for v in set(lengths))]))
-        if n <= 0:
-            continue
-        for at, v in enumerate(lengths):
-            put(v, n, containers, at)
-        space.setdefault(capacity - sum(lengths), []).append((containers, n, len(lengths)))
-        containers += n
+    more = True
+    while more:
+        p, before = patterns(left, capacity), containers
+        x = fit_counts(p, left.astype(float))
+        x = np.where(x > ROUND_UP, np.ceil(x), 0).astype(np.int64)  # many lengths are rare, so many counts are below a half
+        for i in np.argsort(-x, kind="stable"):
+            lengths = [int(v) for v in p[i] if v]
+            n = int(min([x[i], *(left[v] // lengths.count(v) for v in set(lengths))]))
+            if n <= 0:
+                continue
+            for at, v in enumerate(lengths):
+                put(v, n, containers, at, 1)
+            space.setdefault(capacity - sum(lengths), []).append((containers, n, len(lengths)))
+            containers += n
+        more = containers - before > AGAIN * containers
     for length in range(capacity, 0, -1):
         while left[length]:
             room = min((s for s in space if s >= length), default=None)
@@ -136,7 +142,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
             if m < n:
                 space.setdefault(room, []).append((first + m, n - m, held))
     groups = sorted((f, n, s) for s, stack in space.items() for f, n, _ in stack)
-    return Plan(np.array(sorted(slots), np.int64).reshape(-1, 5), np.array(groups, np.int64).reshape(-1, 3))
+    return Plan(np.array(sorted(slots), np.int64).reshape(-1, 6), np.array(groups, np.int64).reshape(-1, 3))
 
 
 def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,18 +174,18 @@ def _place(planned, offsets):
             slot = p.slots[np.searchsorted(keys, (n.astype(np.int64) << shift) + rank, "right") - 1]
             container = slot[:, 3] + rank - slot[:, 1]
             unused = p.groups[np.searchsorted(p.groups[:, 0], container, "right") - 1, 2]
-            yield pa.RecordBatch.from_arrays([pa.array(container), pa.array(slot[:, 4].astype(np.int32)), b.column(0), b.column(1), b.column(2), b.column(3), pa.array(unused.astype(np.int32))], names=["container_id", "position", "doc_id", "piece_no", "token_start", "n_tokens", "unused"])
+            yield pa.RecordBatch.from_arrays([pa.array(container), pa.array(slot[:, 4].astype(np.int32)), b.column(0), b.column(1), b.column(2), b.column(3), pa.array(unused.astype(np.int32)), pa.array(slot[:, 5] == 1)], names=["container_id", "position", "doc_id", "piece_no", "token_start", "n_tokens", "unused", "by_pattern"])
 
     return place
 
 
 def pack(spark: SparkSession, documents: DataFrame, scratch: Scratch, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(container_id, position, doc_id, piece_no, token_start, n_tokens, unused): every document in a
-    container, at a position from 0, with the container's unused tokens.
+    """(container_id, position, doc_id, piece_no, token_start, n_tokens, unused, by_pattern): every document in a
+    container, at a position from 0, with the container's unused tokens, and whether a pattern placed it.
 
     A document of more than ``capacity`` tokens is cut into full pieces and a rest, numbered from 0;
     all others are one piece. Documents without tokens (null or empty text) need no container: they
-    are rows with a null container_id, position and unused. A repeated or null doc_id is packed
+    are rows with a null container_id, position, unused and by_pattern. A repeated or null doc_id is packed
     like any other; an empty table gives no rows."""
     counted = scratch.store(with_tokens(documents.select(F.col("doc_id").cast("bigint"), "text"), "doc_id bigint", tokenizer), "counted")
     last = F.expr(f"cast((n_tokens - 1) div {capacity} as int)")
@@ -195,7 +201,7 @@ def pack(spark: SparkSession, documents: DataFrame, scratch: Scratch, capacity:
     for r in sizes:
         offsets[r.part, r.n_tokens] = histogram.get(r.n_tokens, 0)
         histogram[r.n_tokens] = histogram.get(r.n_tokens, 0) + r["count"]
-    empty = counted.where("n_tokens = 0").select(F.lit(None).cast("bigint").alias("container_id"), F.lit(None).cast("int").alias("position"), "doc_id", F.lit(0).alias("piece_no"), F.lit(0).alias("token_start"), "n_tokens", F.lit(None).cast("int").alias("unused"))
+    empty = counted.where("n_tokens = 0").select(F.lit(None).cast("bigint").alias("container_id"), F.lit(None).cast("int").alias("position"), "doc_id", F.lit(0).alias("piece_no"), F.lit(0).alias("token_start"), "n_tokens", F.lit(None).cast("int").alias("unused"), F.lit(None).cast("boolean").alias("by_pattern"))
     sc = spark.sparkContext
-    placed = ranked.mapInArrow(_place(sc.broadcast(plan(histogram, capacity)), sc.broadcast(offsets)), "container_id bigint, position int, doc_id bigint, piece_no int, token_start int, n_tokens int, unused int")
+    placed = ranked.mapInArrow(_place(sc.broadcast(plan(histogram, capacity)), sc.broadcast(offsets)), "container_id bigint, position int, doc_id bigint, piece_no int, token_start int, n_tokens int, unused int, by_pattern boolean")
     return placed.unionByName(empty)

@@ -99,11 +99,11 @@ def p6_containers(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p6_summary(spark: SparkSession, root: str) -> DataFrame:
-    """Containers, tokens and unused space of the packing."""
+    """Containers, tokens and unused space of the packing, and the share of the tokens that patterns placed."""
     placed = p6_containers(spark, root).where("container_id is not null")
-    each = placed.groupBy("container_id").agg(F.sum("n_tokens").alias("tokens"), F.max("unused").alias("unused"))
-    full = each.agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"), F.sum("unused").alias("unused"))
-    return full.withColumn("unused_share", F.col("unused") / (F.col("containers") * CAPACITY))
+    each = placed.groupBy("container_id").agg(F.sum("n_tokens").alias("tokens"), F.max("unused").alias("unused"), F.sum(F.when(F.col("by_pattern"), F.col("n_tokens")).otherwise(0)).alias("by_pattern"))
+    full = each.agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"), F.sum("unused").alias("unused"), F.sum("by_pattern").alias("by_pattern"))
+    return full.withColumn("unused_share", F.col("unused") / (F.col("containers") * CAPACITY)).withColumn("pattern_share", F.col("by_pattern") / F.col("tokens")).drop("by_pattern")
 
 
 def p7_chosen(spark: SparkSession, root: str) -> DataFrame:
