@@ -84,14 +84,14 @@ def test_memory_of_a_merge_is_that_of_its_cursors(tmp_path, monkeypatch):
     import pyarrow as pa
     import pyarrow.parquet as pq
 
-    monkeypatch.setattr(N, "HELD_ROWS", 4_000)
+    monkeypatch.setattr(N, "HELD_ROWS", 800)
     peaks = []
-    for rows in (20_000, 200_000):
+    for rows in (4_000, 40_000):
         paths = []
         for run in range(4):
             keys = sorted(f"g{i:07}" for i in range(rows))
             t = pa.table([[0] * rows, [1] * rows, keys, [90.0] * rows, [run] * rows, [f"o{run}"] * rows], schema=N.RUN_ARROW)
-            pq.write_table(t, tmp_path / f"{rows}-{run}.parquet", row_group_size=10_000)
+            pq.write_table(t, tmp_path / f"{rows}-{run}.parquet", row_group_size=2_000)
             paths.append(str(tmp_path / f"{rows}-{run}.parquet"))
         tracemalloc.start()
         n = sum(1 for _ in N.merge_runs([N._cursor(p, 0, 0, N.HELD_ROWS // 4) for p in paths], 2))
