@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import hashlib
 import io
+import itertools
 import tempfile
 import uuid
 import zipfile
@@ -69,14 +70,13 @@ class Scratch:
         ship(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        self.count = 0
+        self.numbers = itertools.count()  # of one thread or several
         atexit.register(_remove, spark, self.root)
 
     def store(self, df: DataFrame, name: str = "t", partition_by: list[str] | None = None, options: dict | None = None) -> DataFrame:
         """Writes df, in folders by the columns of partition_by, and returns it as read back, with the
         same schema."""
-        path = f"{self.root}/{self.count:03d}-{name}"
-        self.count += 1
+        path = f"{self.root}/{next(self.numbers):03d}-{name}"
         df.write.mode("overwrite").options(**(options or {})).parquet(path, partitionBy=partition_by)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._twinmesh_path = path
