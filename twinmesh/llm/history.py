@@ -29,6 +29,7 @@ import json
 import random
 import sys
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +45,8 @@ PROBES = 2_000_000
 #: Band keys of more signatures than this are refined by sub-bands; a sub-band's slices and the slices of a
 #: class of members have about as many rows.
 WIDE_KEY = 1_000
+#: Batches of one load that are probed at the same time.
+AT_ONCE = 4
 WORDS = ["w0", "w1", "w2", "w3"]
 BITS = 256
 SIGNATURE = ["algorithm_id", "project", *WORDS]
@@ -135,47 +138,70 @@ class HistoryIndex:
             return reader.parquet(path)
         return reader.option("basePath", path).parquet(*[f"{path}/folder={f}" for f in folders])
 
-    def members(self) -> DataFrame:
-        """All members (rows repeat where a batch repeats them)."""
-        return _union([self._read(f"{m['path']}/members", MEMBER) for m in self.segments.values()])
+    def members(self, since: int | None = None) -> DataFrame:
+        """All members, or those of the batches from ``since`` on (rows repeat where a batch repeats them)."""
+        parts = [self._read(m["members"], MEMBER) for b, m in self.segments.items() if m["rows"] and (since is None or b >= since)]
+        return _union(parts) if parts else self.spark.createDataFrame([], MEMBER)
 
     def found(self, since: int = 0) -> DataFrame:
         """Pairs of signatures (algorithm_id, project, w0..w3, o_w0..o_w3): those of each batch from ``since``
         on with those that were there when it came, itself included."""
-        parts = [self._read(f"{m['path']}/found", FOUND) for b, m in self.segments.items() if b >= since and m["matched"]]
+        parts = [self._read(m["found"], FOUND) for b, m in self.segments.items() if b >= since and m["found"]]
         return _union(parts).distinct() if parts else self.spark.createDataFrame([], FOUND)
 
     def accept(self, batch: int, members: DataFrame, match: bool = True) -> None:
-        """Accepts a batch of members (algorithm_id, project_id, asset_id, created_at, project, w0..w3): finds the
-        signatures of the batch and of earlier ones that are equal or near to each of its signatures (unless
-        ``match`` is off, for a first load), and adds it to the index. A batch that is there already is left as
-        it is. Of earlier batches only the key folders that this one's keys fall in are read."""
-        if batch in self.segments:
+        """Accepts one batch, see ``accept_all``."""
+        self.accept_all([batch], members.withColumn("batch", F.lit(batch)), batch if match else batch + 1)
+
+    def accept_all(self, batches: list[int], members: DataFrame, match_from: int) -> None:
+        """Accepts batches of members (batch, algorithm_id, project_id, asset_id, created_at, project, w0..w3), one after
+        the other: finds the signatures of the batch and of earlier ones that are equal or near to each of its
+        signatures (not before ``match_from``, for a first load), and adds it to the index. A batch that is there
+        already is left as it is. Of earlier batches only the key folders that this one's keys fall in are read.
+        Members and keys of the given batches are written together."""
+        batches = sorted(b for b in batches if b not in self.segments)
+        if not batches:
             return
-        path = f"{self.root}/{batch:09d}-{uuid.uuid4().hex}"
-        members.select(*[f.split()[0] for f in MEMBER.split(", ")]).write.parquet(f"{path}/members")
-        members = self._read(f"{path}/members", MEMBER)
-        n = members.count() * (self.d_max + 1)
+        path = f"{self.root}/{uuid.uuid4().hex}"
+        columns = [f.split()[0] for f in MEMBER.split(", ")]
+        members.where(F.col("batch").isin(batches)).select("batch", *columns).write.partitionBy("batch").parquet(f"{path}/members")
+        members = self.spark.read.schema(f"{MEMBER}, batch int").parquet(f"{path}/members")
+        rows = {r["batch"]: r["count"] for r in members.groupBy("batch").count().collect()}  # one for each batch
+        bits = {b: self._bits(rows.get(b, 0) * (self.d_max + 1)) for b in batches}
+        folder = F.lit(0)
+        for b in batches:
+            folder = F.when(F.col("batch") == b, self._folder(bits[b])).otherwise(folder)
+        keys = self.band_keys(members.select("batch", *SIGNATURE).distinct(), "batch").withColumn("folder", folder)
+        keys.repartition("batch", "folder").sortWithinPartitions("batch", "folder", "key").write.partitionBy("batch", "folder").parquet(f"{path}/keys")
+        new = {b: {"batch": b, "rows": rows.get(b, 0), "bits": bits[b], "members": f"{path}/members/batch={b}", "keys": f"{path}/keys/batch={b}", "found": None} for b in batches}
+        known = {**self.segments, **new}
+
+        def probe(b: int) -> None:
+            if b >= match_from and new[b]["rows"]:
+                self.matches(self._read(new[b]["keys"], KEY), {k: known[k] for k in sorted(known) if k <= b}).write.parquet(f"{path}/found-{b}")
+                new[b]["found"] = f"{path}/found-{b}"
+
+        # a batch reads the segments up to its own, which are all written: the probes of several may run at once
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            list(pool.map(probe, batches))
+        for b in batches:
+            self._publish(new[b])
+
+    def _bits(self, rows: int) -> int:
         bits = 0
-        while n > FOLDER_ROWS << bits and 1 << bits < MOST_FOLDERS:
+        while rows > FOLDER_ROWS << bits and 1 << bits < MOST_FOLDERS:
             bits += 1
-        keys = self.band_keys(members.select(*SIGNATURE).distinct()).withColumn("folder", self._folder(bits))
-        keys.repartition("folder").sortWithinPartitions("folder", "key").write.partitionBy("folder").parquet(f"{path}/keys")
-        manifest = {"batch": batch, "path": path, "bits": bits, "matched": match}
-        if match:
-            probes = self._read(f"{path}/keys", KEY)
-            self.matches(probes, {**self.segments, batch: manifest}).write.parquet(f"{path}/found")
-        self._publish(manifest)
+        return bits
 
     def _folder(self, bits: int) -> Column:
         """The folder of a key: the first bits of its unsigned value."""
         return F.shiftrightunsigned("key", 64 - bits).cast("int") if bits else F.lit(0)
 
-    def band_keys(self, signatures: DataFrame) -> DataFrame:
+    def band_keys(self, signatures: DataFrame, *also: str) -> DataFrame:
         """One row per signature and band: (key, band, signature columns)."""
         near = signatures.where(F.col("algorithm_id") == self.near).withColumn("b", F.explode(F.array(*[_band(i, c) for i, c in enumerate(self.cuts)])))
         exact = signatures.where(F.col("algorithm_id") == self.exact).withColumn("b", F.struct(F.lit(-1).alias("band"), F.xxhash64(*SIGNATURE).alias("key")))
-        return near.unionByName(exact).select("b.key", "b.band", *SIGNATURE)
+        return near.unionByName(exact).select("b.key", "b.band", *SIGNATURE, *also)
 
     # --- probes
 
@@ -186,11 +212,13 @@ class HistoryIndex:
         few = sum(at.values()) <= PROBES
         parts, read = [], {}
         for b, m in segments.items():
-            there = {int(f.getPath().getName().split("=")[1]) for f in self._fs.listStatus(self._path(f"{m['path']}/keys")) if "=" in f.getPath().getName()}
+            if not m["rows"]:
+                continue
+            there = {int(f.getPath().getName().split("=")[1]) for f in self._fs.listStatus(self._path(m["keys"])) if "=" in f.getPath().getName()}
             wanted = sorted(there & {f >> (most - m["bits"]) for f in at})
             read[b] = (len(wanted), len(there))
             if wanted:
-                parts.append(self._read(f"{m['path']}/keys", KEY, wanted).select(*[f.split()[0] for f in KEY.split(", ")]))
+                parts.append(self._read(m["keys"], KEY, wanted).select(*[f.split()[0] for f in KEY.split(", ")]))
         stored = _union(parts) if parts else self.spark.createDataFrame([], KEY)
         return stored.join(F.broadcast(keys) if few else keys.distinct(), "key", "left_semi"), read
 
@@ -231,7 +259,7 @@ class HistoryIndex:
         """Pairs of members (algorithm_id, project_id, asset_id, created_at, o_asset, o_created) of
         the same project, the first of a batch from ``since`` on, the second of any; each pair of assets is
         there once for each of its hashes that match. A signature of very many members is dealt into slices."""
-        own = _union([self._read(f"{m['path']}/members", MEMBER) for b, m in self.segments.items() if b >= since] or [self.spark.createDataFrame([], MEMBER)])
+        own = self.members(since)
         theirs = self.members().select("algorithm_id", "project", F.col("project_id").alias("o_project_id"), F.col("asset_id").alias("o_asset"), F.col("created_at").alias("o_created"), *[F.col(w).alias(f"o_{w}") for w in WORDS])
         at = ["algorithm_id", "project", *OTHER]
         slices = theirs.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WIDE_KEY).select(*at, F.ceil(F.col("n") / WIDE_KEY).cast("int").alias("slices"))

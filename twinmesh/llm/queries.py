@@ -60,9 +60,8 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     index = HistoryIndex(spark, fingerprint(spark, [hashes, batches], NEAR_BITS), exact=1, near=3, d_max=NEAR_BITS)
     if len(index.segments) <= len(opened):
         number = sum((F.coalesce(F.col("created_at") >= F.lit(t), F.lit(False)).cast("int") for t in opened), F.lit(0))
-        members = Scratch(spark, "p4").store(members_of(table(spark, root, "asset_hash"), exact=1, near=3).withColumn("batch", number), "all", ["batch"])
-        for b in range(len(opened) + 1):
-            index.accept(b, members.where(F.col("batch") == b), match=b > 0)
+        members = members_of(table(spark, root, "asset_hash"), exact=1, near=3).withColumn("batch", number)
+        index.accept_all(list(range(len(opened) + 1)), members, match_from=1)
     return unrecorded(index.pairs(since=1), table(spark, root, "asset_hash_duplicate").where(F.col("algorithm_id").isin(1, 3)))
 
 
