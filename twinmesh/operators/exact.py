@@ -64,11 +64,14 @@ def match_classes(hashes: DataFrame, queries: DataFrame) -> DataFrame:
     class that a query asset is in, with its smallest asset, members and the number of query assets, and one
     row per asset of the class, ``wanted`` where it is a query asset. A query asset matches all other assets of
     its class, so the rows follow the classes' sizes, however many of their assets are asked for."""
-    asked = queries.select(*SCOPE, "asset_id").dropna().distinct().withColumn("asked", F.lit(True))
-    have = holders(hashes).join(asked, [*SCOPE, "asset_id"], "left").withColumn("wanted", F.coalesce("asked", F.lit(False)))
-    n = F.count(F.lit(1))
-    of = have.groupBy(*CLASS).agg(F.min("asset_id").alias("class_id"), n.alias("members"), F.count_if("wanted").alias("queries")).where("members > 1 and queries > 0")
-    return have.join(of, CLASS).select(*CLASS, "class_id", "members", "queries", "asset_id", "wanted")
+    asked = queries.select(*SCOPE, "asset_id").dropna().distinct()
+    have = holders(hashes)
+    # classes that a query asset is in; only their members go on
+    hit = have.join(asked, [*SCOPE, "asset_id"], "left_semi").groupBy(*CLASS).agg(F.count(F.lit(1)).alias("queries"))
+    mine = have.join(hit, CLASS)
+    of = mine.groupBy(*CLASS).agg(F.min("asset_id").alias("class_id"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    out = mine.join(of, CLASS).join(asked.withColumn("asked", F.lit(True)), [*SCOPE, "asset_id"], "left")
+    return out.select(*CLASS, "class_id", "members", "queries", "asset_id", F.coalesce("asked", F.lit(False)).alias("wanted"))
 
 
 def match_counts(hashes: DataFrame) -> DataFrame:
