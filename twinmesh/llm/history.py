@@ -46,7 +46,7 @@ PROBES = 2_000_000
 #: class of members have about as many rows.
 WIDE_KEY = 1_000
 #: Batches of one load that are probed at the same time.
-AT_ONCE = 4
+AT_ONCE = 2
 WORDS = ["w0", "w1", "w2", "w3"]
 BITS = 256
 SIGNATURE = ["algorithm_id", "project", *WORDS]
