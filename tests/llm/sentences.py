@@ -1,7 +1,7 @@
 """Sentences for the content grammar, written without the test tables at hand; each set of clean ones has the
-others' words in harmless use. FIRST was written before the grammar and used to mend it; SECOND and THIRD were written
-later, and were unseen when they were first scored (28 of 42 and 34 of 42 found, 3 of 42 and none of
-42 harmless ones flagged); then the grammar was widened by what they had missed."""
+others' words in harmless use. FIRST was written before the grammar and used to mend it; SECOND, THIRD and FOURTH were
+written later, and were unseen when they were first scored (28 of 42, 34 of 42 and 33 of 51 found; 3 of 42,
+none of 42 and 1 of 43 harmless ones flagged); then the grammar was widened by what they had missed."""
 
 FIRST_BAD = """
 go kill yourself
@@ -453,3 +453,101 @@ Quiero verte mañana en mi oficina
 The report lists insults such as "you are a moron" and deletes them
 Nobody said that you are stupid
 """.strip().split("\n")
+FOURTH_BAD = """
+You are nothing but a fat ugly loser
+Nobody wants to read your garbage, you talentless hack
+What the hell is wrong with you, idiot
+Hey stupid, learn how to scan
+Go to hell you old witch
+You should kill yourself
+I am going to kill you and your family
+I'm gonna beat the crap out of you
+Someone should teach you a lesson with a baseball bat
+We will find you and we will hurt you
+I wish you were dead
+Rot in hell
+Your mum is fat and so are you
+He's a complete and utter moron
+What a bunch of losers
+Shut the fuck up
+Kiss my ass
+Jews control the banks and must be destroyed
+Blacks are apes
+Fucking immigrants
+Muslims should be banned from this country
+I can't stand gypsies
+Women are inferior to men
+Homosexuality is a disease and gays should be locked up
+Kick all foreigners out
+Indians smell and are dirty
+Do you want to fuck?
+Sit on my face
+Want to see my dick?
+I'm touching myself thinking about you
+Big tits and wet pussies here
+Watch hot girls strip live
+My cock is hard for you
+Du Schlampe
+Fick deine Mutter
+Ihr seid doch alle behindert
+Ich bring dich um, du Schwein
+Alle Juden gehören vergast
+Deutschland den Deutschen, Ausländer raus
+Ich will deine Muschi lecken
+Ta mère la pute
+T'es moche et tu pues
+Je vais te défoncer
+Sales arabes, rentrez chez vous
+Baise-moi
+Tu madre es una puta
+Eres más tonto que una piedra
+Voy a matarte
+Muerte a los judíos
+Putos moros
+Quiero chuparte la polla
+""".strip().split("\n")
+FOURTH_GOOD = """
+You are nothing but helpful
+Nobody wants to read this long manual
+What on earth is wrong with the printer
+Hey team, learn how to scan
+The old witch in the fairy tale lives in a house of bread
+Kill the background task yourself
+I am going to call you and your family
+I'm gonna beat the eggs
+The coach teaches a lesson with a baseball bat
+We will find you a seat and help you
+I wish you were here
+Fruit rots in the cellar
+He's a complete and utter professional
+What a bunch of flowers
+Shut the door
+Kiss the bride
+Banks control the loans and must be regulated
+Apes are primates
+Many immigrants work here
+Smoking should be banned from this building
+Women and men are equal
+Gays and lesbians were persecuted by the regime
+Kick the ball out
+Indian food smells good
+Do you want to start?
+Sit on the chair
+Want to see my drawing?
+The big tit and the blue tit are birds
+Watch the girls play football live
+The rooster's cock crow is loud
+Die Schlange im Terrarium
+Deine Mutter hat angerufen
+Ich bringe dich nach Hause
+Die Juden wurden 1938 verfolgt
+Ausländer dürfen wählen
+Ta mère a appelé
+Tu es belle
+Je vais te défendre
+Les arabes ont inventé l'algèbre
+Tu madre es una santa
+Eres más alto que una piedra
+Voy a llamarte
+Los moros gobernaron Granada
+""".strip().split("\n")

@@ -135,7 +135,7 @@ def found(text):
     return max(A.scores(text)) >= A.FOUND_AT
 
 
-@pytest.mark.parametrize("name", ["FIRST", "SECOND", "THIRD"])
+@pytest.mark.parametrize("name", ["FIRST", "SECOND", "THIRD", "FOURTH"])
 def test_sentences_in_four_languages(name):
     bad, good = getattr(sentences, f"{name}_BAD"), getattr(sentences, f"{name}_GOOD")
     assert sum(map(found, bad)) >= 0.95 * len(bad), [t for t in bad if not found(t)]

@@ -40,16 +40,16 @@ CLASSES: dict[str, str] = {
     " connard(s) connasse(s) conne(s) con(s) debile(s) abruti(s,e,es) ordure(s) minable(s) salaud(s) salope(s) salopard(s) batard(s,e,es) encule(s,e) pute(s) putain bouffon(s,ne) tocard(s) enfoire(s,e) crevard(s) raclure couillon(s) cretine(s) petasse(s) trouduc raté"
     " idiota(s) imbecil(es) cretino(s,a,as) cretina gilipollas cabron(es,a) inutil(es) estupido(s) estupida(s) tonto(s) tonta(s) pendejo(s,a) hijoputa(s) puta(s) puto(s) capullo(s) subnormal(es) zorra(s) mamon(es) payaso(s) memo bobo(s) idiotas maricon(es) malparido(s,a) mierdas fracasado(s) fracasada desgraciado(s) desgraciada",
     # insults of a person only where a person is meant
-    "SOFT": "pig(s) swine cow dog rat(s) snake weasel parasite(s) clown(s) joke fool(s) coward(s) liar(s) disgrace failure trash garbage scum filth vermin waste burden nobody nothing baby monkey ape donkey ass arse sheep maggot(s) worm(s) cockroach leech(es) disease cancer mess embarrassment monster freak(s) psycho lunatic toad troll weirdo ghoul thing dirt turd crap shit cock dick pussy tool muppet plank melon lemon doughnut"
-    " schwein(e) sau esel affe kuh ziege hund ratte(n) parasit(en) abschaum dreck mull witz clown feigling lugner schande nichts null ungeziefer wurm wicht"
-    " porc cochon(ne) chien(ne) vache ane rat(s) singe parasite(s) dechet(s) merde lache menteur honte rien nul(le) vermine clown larve"
-    " cerdo(s,a) perro perra burro vaca rata(s) mono parasito(s) basura escoria mierda cobarde mentiroso mentirosa verguenza nada nadie bestia gusano(s) miserable(s) asco",
-    "ADJ": "ignorant arrogant greedy cowardly lying nasty hideous evil gormless witless two-faced ignorante(s) feig(e,er) stupid(er,est) filthy(er) pathetic spineless brainless worthless useless disgusting dumb(er,est) blind ugly(er) ugliest miserable braindead gutless clueless moronic idiotic imbecilic retarded repulsive vile revolting fat rotten inbred deranged incompetent hopeless despicable contemptible slimy smelly toothless heartless shameless"
+    "SOFT": "pig(s) swine cow dog rat(s) snake weasel parasite(s) clown(s) joke fool(s) coward(s) liar(s) disgrace failure trash garbage scum filth vermin waste burden monkey ape donkey ass arse sheep maggot(s) worm(s) cockroach leech(es) disease cancer mess embarrassment hack witch hag monster freak(s) psycho lunatic toad troll weirdo ghoul dirt turd crap shit cock dick pussy tool muppet plank melon lemon doughnut"
+    " schwein(e) sau esel affe kuh ziege hund ratte(n) parasit(en) abschaum dreck mull witz clown feigling lugner schande ungeziefer wurm wicht"
+    " porc cochon(ne) chien(ne) vache ane rat(s) singe parasite(s) dechet(s) merde lache menteur honte nul(le) vermine clown larve"
+    " cerdo(s,a) perro perra burro vaca rata(s) mono parasito(s) basura escoria mierda cobarde mentiroso mentirosa verguenza bestia gusano(s) miserable(s) asco",
+    "ADJ": "talentless boring fat skinny bald ignorant arrogant greedy cowardly lying nasty hideous evil gormless witless two-faced ignorante(s) feig(e,er) stupid(er,est) filthy(er) pathetic spineless brainless worthless useless disgusting dumb(er,est) blind ugly(er) ugliest miserable braindead gutless clueless moronic idiotic imbecilic retarded repulsive vile revolting fat rotten inbred deranged incompetent hopeless despicable contemptible slimy smelly toothless heartless shameless"
     " dumm(e,er,es,en) dumme(r,s) blod(e,er,es,en) erbarmlich(e,er,es,en) dreckig(e,er,es,en) nutzlos(e,er,es,en) wertlos(e,er,es,en) hirnlos(e,er,es,en) hasslich(e,er,es,en) ekelhaft(e,er,es) fett(e,er,es) bescheuert(e,er,es) behindert(e,er,es) hohl(e,er) unfahig(e,er) widerlich(e,er,es)"
     " bete(s) stupide(s) minable(s) pauvre sale(s) gros grosse ignoble moche(s) laid(e) debile(s) nul(le) inutile(s) degoutant(e) pathetique(s) lache"
     " estupido(s,a,as) tonto(s,a,as) pobre asqueroso(s,a,as) maldito(s,a,as) feo(s,a) inutil(es) patetico(s,a) despreciable(s) repugnante(s) gordo(s,a)",
     "ADJMILD": "lazy little old silly sad cheap small cruel mean crazy mad sick annoying rude faul(e,er) klein(e,er) krank(e,er) petit(e) vieux vieille fou folle pequeno pequena viejo vieja loco loca",
-    "SWEAR": "fuck(s,ed) fucking fuckin fkn bullshit shit(s,ty) crap damn(ed) goddamn bloody freaking effing merde(s,ique) putain putains scheisse scheiss verdammt(e,er) verfickt(e,er) beschissen(e,er) drecks mierda(s) cono joder jodido(s,a) jodida puto puta pinche maldito maldita foutu(e,s) puteain bollocks",
+    "SWEAR": "putos putas jodidos malditos malditas sales fuck(s,ed) fucking fuckin fkn bullshit shit(s,ty) crap damn(ed) goddamn bloody freaking effing merde(s,ique) putain putains scheisse scheiss verdammt(e,er) verfickt(e,er) beschissen(e,er) drecks mierda(s) cono joder jodido(s,a) jodida puto puta pinche maldito maldita foutu(e,s) puteain bollocks",
     "PIECE": "piece sack pile bag load lump bunch stuck haufen sack tas morceau gros pedazo trozo saco monton espece especie cara bande pack",
     "CRAPNOUN": "shit crap garbage trash dirt scum filth turd scheisse mist dreck mull merde(s) ordure dechet mierda basura",
     "SHUTUP": "fresse klappe schnauze maul gueule bocazas",
@@ -191,7 +191,7 @@ INSULT_TAILS = "head face bag hole wit wipe tard hat stain breath brain stick cl
 
 #: Sub-transducers; _ is any word but a negation.
 PARTS: dict[str, str] = {
-    "MOD": "(DET | ADV | ADJ | ADJMILD | SWEAR | CRAPNOUN)*",
+    "MOD": "(DET | ADV | ADJ | ADJMILD | SWEAR | CRAPNOUN | ADV and)*",
     "OFCRAP": "(de | of | a | du | des) (la)? CRAPNOUN",
     "PIECEOF": "PIECE (of | de | d | a | voll) (DET | ADJ | SWEAR)* (INSULT | CRAPNOUN | SOFT) | stuck (CRAPNOUN | SWEAR) | (son | sons) of a (INSULT | SWEAR | gun) | (hijo | hijos | hija) de (la)? (gran)? (INSULT | perra) | fils de (INSULT | chien | chienne)",
     "BAD": "@MOD (INSULT | @PIECEOF) (@OFCRAP)?",
@@ -223,6 +223,9 @@ RULES: list[tuple[str, float, str]] = [
     ("abusive", 0.9, "INSULT @OFCRAP"),
     ("abusive", 0.9, "@PIECEOF EDGE"),
     ("abusive", 0.9, "this BE (SWEAR | CRAPNOUN) AND YOU (_)*"),
+    ("abusive", 0.9, "@YOUARE (ADV)* (nothing | nobody | rien | nichts | nada | nadie) EDGE"),
+    ("abusive", 0.9, "(hey | hi | oi | listen | hor zu | ecoute | oye) ADJ EDGE"),
+    ("abusive", 0.9, "YOUR (_)? KIN (BE)? (ADV | DET | SWEAR | ADJMILD)* (ADJ | INSULT | SOFT)"),
     ("abusive", 0.9, "(how | wie | que | comme | so) (ADV)* (ADJ | INSULT) YOU (ARE | BE)"),
     ("abusive", 0.85, "(THEY | @THEPERSON) BE (ADV | DET)* (ADJ | SWEAR)+ (ADV | ADJMILD)* SOFT @BOUND"),
     ("abusive", 0.9, "(WHAT | such | quel | quelle | que) (DET | ADV)* (ADJ | SWEAR)+ SOFT (YOU | EDGE YOU)"),
@@ -235,6 +238,7 @@ RULES: list[tuple[str, float, str]] = [
     ("abusive", 0.9, "stfu | kys | gtfo"),
     ("abusive", 0.9, "DISMISS (YOU | EDGE | YOURSELF | t)* (ADJ | DET)* (INSULT | @PIECEOF)"),
     ("abusive", 0.85, "(verpiss | verpisst | fick | leck) (OFFWORD | YOU)"),
+    ("abusive", 0.85, "(SCREW | fick | nique) YOUR KIN"),
     ("abusive", 0.85, "(SCREW | go SCREW) (you | u | off | yourself | yourselves | dich | euch | ta mere | ta race | ta | mich am | ton)"),
     ("abusive", 0.85, "(va | vas | allez) (te | vous) (faire)? (SCREW | FUCK | foutre | SUCK | DIE)"),
     ("abusive", 0.85, "(que te | vete a) (jodan | den | la mierda | tomar por culo | follen | chingar)"),
@@ -272,7 +276,7 @@ RULES: list[tuple[str, float, str]] = [
     ("abusive", 0.85, "WHO (_){0,4} BE DET (_)? (SOFT | _) EDGE plain"),
     ("abusive", 0.85, "WHO (_){0,4} BE (DET)? (ADV | ADJ | SWEAR)* (SOFT) @BOUND"),
     ("abusive", 0.9, "(il faut | hay que | you must | must | have to | takes) (etre | ser | be | a | an | special | DET | to)+ (ADJ | SWEAR | DET)* (INSULT | SOFT) (pour | para | to | EDGE)"),
-    ("abusive", 0.85, "(THEY | WHO | @THEPERSON) BE (ADV | SWEAR | ADJMILD)* DET (ADV | ADJ | SWEAR | ADJMILD)* (INSULT | @PIECEOF) EDGE"),
+    ("abusive", 0.85, "(THEY | WHO | @THEPERSON) BE (ADV | SWEAR | ADJMILD)* DET (ADV | ADJ | SWEAR | ADJMILD | ADV and)* (INSULT | @PIECEOF) EDGE"),
     ("abusive", 0.85, "(ARE | BE) YOU (SWEAR)+ _"),
     ("abusive", 0.85, "(ARE | BE) YOU (SWEAR)? (ADJ | ADJMILD | deaf | mental) (or | oder | ou | o) (just | only | SWEAR)* (ADJ | _)"),
     # threats
@@ -281,6 +285,8 @@ RULES: list[tuple[str, float, str]] = [
     ("abusive", 0.9, "@SUBJ (WILL | MODAL | to | be | should | ought | _)* HANDLE (YOU | YOUR KIN) (_){1,3} PLACE"),
     ("abusive", 0.85, "(bullet | knife | axe) (_){0,2} (in | through | between) YOUR (_)? BODY"),
     ("abusive", 0.9, "(bring | bringe | bringen) YOU (_)? um"),
+    ("abusive", 0.9, "(beat | kick | knock | smack | punch | slap) (the | living)+ (_)? out of YOU"),
+    ("abusive", 0.85, "teach YOU a lesson"),
     ("abusive", 0.9, "(I | WHO) (_)? (WILL | MODAL | ll) (_)? (make | have) YOU (_)? REGRET"),
     ("abusive", 0.9, "YOU (_)? (WILL | MODAL | ll | vas | vais) (_)? REGRET (this | it | that | for | das | dafur | ca | esto | EDGE)"),
     ("abusive", 0.9, "I (WILL | MODAL)? YOU (_){0,3} (HURT | BODY HANDLE)"),
@@ -328,6 +334,8 @@ RULES: list[tuple[str, float, str]] = [
     ("hateful", 0.9, "@G (_){0,3} MODAL (BE | all | alle | _){0,3} (EXTERMINATE | EXPEL)"),
     ("hateful", 0.9, "(MODAL | man | on | should | must | faut | hay | habria) (_){0,2} @G (_){0,2} (EXTERMINATE | EXPEL)"),
     ("hateful", 0.9, "@G OUT (EDGE | @BOUND | aus | of | from | hier | here | de | d)"),
+    ("hateful", 0.9, "@G (_){0,5} AND MODAL (BE)? (_)? (EXTERMINATE | EXPEL | destroyed | eliminated | crushed)"),
+    ("hateful", 0.85, "(cant | cannot | dont) (stand | bear | tolerate) (DET | SWEAR | these | those)* @G"),
     ("hateful", 0.9, "(drive | throw | kick | chase | hunt | push | force | run | jag | jagt | werft) (DET | all | those | these | _)* @G (_){0,2} (OUT | away | from)"),
     ("hateful", 0.9, "@G (_ | EDGE){0,8} (EXPEL | EXTERMINATE) (THEM)"),
     ("hateful", 0.9, "@G (_ | EDGE){0,8} (MODAL | we | man | on) (que | on | MODAL)* THEM (_)? (EXPEL | EXTERMINATE)"),
@@ -380,6 +388,13 @@ RULES: list[tuple[str, float, str]] = [
     ("sexual", 0.9, "(vamos | ganas | quiero) (a | de)? FUCK"),
     ("sexual", 0.85, "(to | hard | zu | de | a) FUCK (me | her | him | them | YOU)"),
     ("sexual", 0.9, "WANTIT (_){0,2} (YOU | verte | tenerte) (_)? NAKED"),
+    ("sexual", 0.85, "(sit | ride | come) on MY (face | TITS)"),
+    ("sexual", 0.85, "(see | watch | feel | suck | want) (MY | YOUR) (SEXADJ)* TITS (EDGE | _)"),
+    ("sexual", 0.85, "(touching | playing with | fingering | touch) (myself | yourself | herself | himself) (while | and | thinking | EDGE | for)"),
+    ("sexual", 0.9, "(MY | YOUR | THEIR) TITS BE (so | very)? (SEXADJ | HORNY) (for | AND | EDGE | _)"),
+    ("sexual", 0.9, "(MY | YOUR | THEIR) (SEXADJ)* TITS (LICK | SUCK | FUCK)"),
+    ("sexual", 0.9, "SEXADJ BREAST AND SEXADJ (TITS | pussies)"),
+    ("sexual", 0.85, "HOT GIRLS (_){0,2} (strip | naked | online | waiting | dancing | UNDRESS)"),
     ("sexual", 0.85, "WANTIT (_){0,2} PORN"),
     ("sexual", 0.85, "(took | takes | take | taking | pounds | pounding | thrust | thrusts | fucks) (her | him | me | you) (_)? (from behind | hard | deep)"),
     ("sexual", 0.85, "WANTIT (_){0,2} (mit YOU (ins bett | schlafen) | coucher avec YOU | acostarme contigo | sleep WITH YOU tonight)"),
