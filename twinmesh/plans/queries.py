@@ -198,8 +198,9 @@ NEAR_ONE = "one AS (SELECT DISTINCT h.project_id, h.algorithm_id, hash, bits, CA
 def _class_edges(spark, root, of: dict[int, tuple[int, float]]) -> DataFrame:
     h = Base(spark, root).hashes
     out = None
-    for algorithm, (bits, threshold) in of.items():
-        e = hamming.class_edges(h.where(F.col("algorithm_id") == algorithm), bits, threshold, Scratch(spark, "near"))
+    for bits, threshold in dict.fromkeys(of.values()):  # recipes of the same length and threshold go together
+        same = [algorithm for algorithm, x in of.items() if x == (bits, threshold)]
+        e = hamming.class_edges(h.where(F.col("algorithm_id").isin(same)), bits, threshold, Scratch(spark, "near"))
         out = e if out is None else out.unionByName(e)
     return out
 
